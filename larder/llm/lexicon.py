@@ -1,0 +1,88 @@
+"""Phrases by which a sentence deals with a subject: things and actions, folded words, English and Vietnamese.
+
+The lists are a parameter of the subject operator; these are its defaults for the ten
+subjects of the canteen corpus.
+"""
+
+from __future__ import annotations
+
+THINGS = {
+    "cooking": """caramel sauce; tray of steamed eggs; pumpkin soup; rice porridge; beef stew; braised pork belly; pot of sticky rice; papaya salad;
+        shallot oil; fried perch; tamarind broth; lemongrass chicken; mo hanh; dia nom du du; ca ro chien; noi chao ga; khay trung hap; noi thit kho;
+        mon ga xao sa; nuoc mau; canh bi do; nuoc dung me; noi xoi dau; noi bo kho""",
+    "nutrition": """diabetic diet; body mass index; sodium level; daily calorie intake; portion of vegetables; vitamin a; blood sugar; saturated fat;
+        iron deficiency; dietary fibre; protein content; glycaemic index; ham luong dam; vitamin a; khau phan rau; che do an tieu duong; chat xo;
+        luong calo moi ngay; duong huyet; luong natri; chat beo bao hoa; chi so khoi co the; chi so duong huyet; thieu sat""",
+    "hygiene_law": """liability of the operator; legal storage limit; contract clause; hearing; inspection record; food safety permit; licensing authority;
+        health certificate; complaint procedure; sample retention rule; a fine; giay kham suc khoe; buoi giai trinh; dieu khoan hop dong;
+        gioi han bao quan theo luat; co quan cap phep; thu tuc khieu nai; trach nhiem cua co so; muc phat; quy dinh luu mau; bien ban kiem tra;
+        giay phep an toan thuc pham""",
+    "billing": """month end closing; net amount; receipt; invoice; unpaid balance; gross total; discount line; refund; surcharge for a second egg;
+        cash drawer; bill draft; price list; phu thu trung thu hai; khoan hoan tien; ky khoa so cuoi thang; dong giam gia; hoa don; ngan tien mat;
+        hoa don nhap; tong tien truoc giam; so tien phai tra; khoan chua thanh toan; bien lai; bang gia""",
+    "software": """checkout server; schema migration; config file; race condition; sqlite store; command line flag; null pointer; upload endpoint;
+        unit test; session cookie; sync script; log rotation; cookie phien; cong tai anh len; may chu tinh tien; tep cau hinh; buoc di tru luoc do;
+        viec xoay nhat ky; loi con tro rong; co dong lenh; kho sqlite; bai kiem thu; loi tranh chap luong; kich ban dong bo""",
+    "image_models": """region detector; confusion matrix; confidence threshold; augmented crop; training epoch; dish classifier; validation accuracy;
+        learning rate; feature map; blurred frame; label noise; bounding box; vong huan luyen; ma tran nham lan; nhieu nhan; do chinh xac kiem dinh;
+        ban do dac trung; khung bao; toc do hoc; nguong tin cay; bo phan loai mon; bo do vung; anh cat tang cuong; khung hinh mo""",
+    "loyalty": """reward tier; free dish voucher; expired coupon; comment box; birthday offer; star rating; referral bonus; lapsed member; points balance;
+        sign up form; member card; feedback panel; the thanh vien; so du diem; phieu het han; thuong gioi thieu; thanh vien lau khong ghe; o gop y;
+        hang thuong; mau dang ky; uu dai sinh nhat; diem danh gia sao; bang phan hoi; phieu doi mon""",
+    "supply": """delivery note; pallet; harvest forecast; cold chain; delivery van; purchase order; stock count; rice wholesaler; reorder level; lead time;
+        backorder; vegetable cooperative; thoi gian giao; muc dat lai; du bao mua vu; tam ke hang; xe giao hang; phieu giao hang; hop tac xa rau;
+        dau moi gao; dot kiem kho; don dat hang; chuoi lanh; hang con no""",
+    "sport": """relay squad; penalty shootout; canteen football team; table tennis league; away match; half marathon; badminton final; score sheet;
+        goalkeeper; referee; second half; warm up; trong tai; tran chung ket cau long; hiep hai; giai bong ban; buoi khoi dong; bang ti so; thu mon;
+        giai chay ban marathon; doi chay tiep suc; doi bong cang tin; tran san khach; loat luan luu""",
+    "facilities": """fuse box; floor drain; freezer compressor; conveyor belt; gas valve; grease trap; extractor hood; dishwasher pump; ceiling lamp;
+        water meter; steam oven; camera mount; dong ho nuoc; may hut khoi; van ga; may nen tu dong; ranh thoat san; lo hap; bom may rua chen; bay mo;
+        gia gan may quay; den tran; bang chuyen; hop cau chi""",
+}
+
+ACTIONS = {
+    "cooking": """fry the garlic until golden; crisp the skin in hot oil; fold the herbs in at the end; thicken the gravy with rice flour; skim the broth;
+        soak the mung beans overnight; season with fish sauce and palm sugar; simmer the bones on a low flame; marinate the chicken for an hour;
+        slice the lemongrass thinly; phi toi cho vang; ham xuong nho lua; thai sa that mong; chien da cho gion; cho rau thom vao sau cung;
+        uop ga mot tieng; ngam dau xanh qua dem; lam sanh nuoc sot bang bot gao; hot bot nuoc dung; nem nuoc mam voi duong thot not""",
+    "nutrition": """keep a food diary; cut added salt by a third; limit sweet drinks; weigh portions for two weeks; balance carbohydrates against activity;
+        replace lard with rapeseed oil; raise fibre to thirty grams; eat more legumes; check cholesterol once a year; spread protein over three meals;
+        giam mot phan ba luong muoi; can khau phan trong hai tuan; kiem tra mo mau moi nam; ghi nhat ky an uong; tang chat xo len ba muoi gam;
+        chia dam deu ba bua; can bang tinh bot voi van dong; an them cac loai dau; thay mo lon bang dau hat cai; han che nuoc ngot""",
+    "hygiene_law": """display the licence at the entrance; report a suspected poisoning; withdraw the spoiled lot; sign the inspection protocol;
+        comply with the storage temperature; renew the certificate; disinfect cutting boards by regulation; file an appeal within ten days;
+        keep samples for twenty four hours; prove the origin under the decree; luu mau du hai muoi bon gio; tuan thu nhiet do bao quan;
+        thu hoi lo hang hong; treo giay phep o loi vao; gia han giay chung nhan; chung minh nguon goc theo nghi dinh; khieu nai trong muoi ngay;
+        bao cao nghi ngo doc; ky bien ban kiem tra; khu trung thot theo quy dinh""",
+    "billing": """void the wrong receipt; correct the unit price; reprint the invoice; charge the uncertain item by hand; book the refund to petty cash;
+        reconcile the cash drawer; round the total to the nearest thousand; add the extra price to the base price; post the payment before closing;
+        split the bill in two; doi chieu ngan tien; sua don gia; lam tron tong tien den nghin dong; tinh tay mon chua chac; tach hoa don lam hai;
+        ghi nhan thanh toan truoc khi khoa so; ghi khoan hoan vao quy; in lai hoa don; huy bien lai sai; cong gia them vao gia goc""",
+    "software": """escape the query parameter; pin the library version; add an index on the ledger; roll back the release; validate the json payload;
+        restart the service after the patch; cache the parsed config; wrap the write in a transaction; rebase the branch; raise the request timeout;
+        goi lenh ghi trong giao dich; luu dem cau hinh; them chi muc cho so cai; khoa phien ban thu vien; kiem tra goi json; gop lai nhanh ma;
+        ma hoa tham so truy van; tang thoi gian cho; khoi dong lai dich vu sau ban va; quay lui ban phat hanh""",
+    "image_models": """relabel the ambiguous crops; stop when the loss plateaus; mine hard negatives; lower the confidence threshold; normalise the brightness;
+        retrain on balanced classes; tile the tray image; freeze the backbone; drop boxes below the area limit; calibrate the softmax;
+        chia o anh khay; dong bang mang nen; dung khi ham mat mat di ngang; bo khung duoi nguong dien tich; tim mau am kho; ha nguong tin cay;
+        huan luyen lai tren lop can bang; gan lai nhan anh mo ho; hieu chinh softmax; chuan hoa do sang""",
+    "loyalty": """send the offer on friday; answer every low rating; credit the missing points; invite a colleague to join; redeem ten points for a voucher;
+        rate the dish with five stars; thank returning guests; merge the two memberships; mask the phone of the member; extend the coupon by a week;
+        cam on khach quen; gui uu dai vao thu sau; doi muoi diem lay phieu; tra loi tung danh gia thap; che so dien thoai thanh vien;
+        cham mon nam sao; gop hai the thanh vien; cong bu diem thieu; moi dong nghiep tham gia; gia han phieu them mot tuan""",
+    "supply": """negotiate the freight rate; rotate stock by arrival date; compare three offers; return empty crates; book the morning slot;
+        reject bruised cabbage at the dock; count the freezer weekly; lock the price before the flood season; order two sacks in advance;
+        switch the egg supplier; so ba bao gia; chot gia truoc mua lu; giu khung gio sang; thuong luong cuoc cho; doi moi trung;
+        xuat kho theo ngay nhap; dem tu dong hang tuan; dat truoc hai bao; tra sot rong; tra bap cai dap tai ben nhan""",
+    "sport": """stretch after the run; defend the lead; rest the injured striker; press high in midfield; win the rally at the net; sprint the last lap;
+        score from the corner; serve to the backhand; train twice a week; swap the captain; gian co sau khi chay; cho tien dao chan thuong nghi;
+        giu ti so; thang pha cau tren luoi; ghi ban tu phat goc; nuoc rut vong cuoi; giao bong vao trai tay; tap hai buoi mot tuan;
+        thay doi truong; ep san o giua""",
+    "facilities": """descale the boiler; call the electrician; test the smoke alarm; oil the belt rollers; replace the door seal; read the meter at night;
+        clean the hood filter; tighten the gas hose; level the scale table; insulate the hot pipe; tra dau con lan; tay can noi hoi;
+        can lai mat ban can; thay gioang cua; rua luoi hut khoi; goi tho dien; doc dong ho ban dem; thu chuong bao khoi; siet ong ga; boc ong nong""",
+}
+
+
+def phrases(table: dict[str, str]) -> dict[str, list[tuple[str, ...]]]:
+    return {subject: sorted({tuple(p.split()) for p in text.split(";") if p.strip()}) for subject, text in table.items()}

@@ -44,10 +44,11 @@ reach AS (SELECT DISTINCT a AS x, a AS y FROM e UNION SELECT reach.x, e.b FROM r
 root AS (SELECT x AS unit, min(y) AS root FROM reach GROUP BY x),
 m AS (SELECT u.*, coalesce(root.root, u.unit) AS root FROM u LEFT JOIN root USING (unit))"""
 
+_FOLDER = "regexp_extract(lower(rel_path), '(?:^|[/\\\\])\\s*(train|training|val|valid|validation|test|testing)\\s*[/\\\\]', 1)"
 _AUDIT = f"""
 t AS (SELECT item_id, {_name('source')} AS source, {_sha('sha256')} AS sha, {_ph('phash')} AS ph,
         CASE WHEN split IS NULL OR NOT regexp_matches(split, '\\S')
-             THEN list_filter(list_transform(list_slice(regexp_split_to_array(rel_path, '[/\\\\]'), 1, -2), x -> {_split('x')}), x -> x IS NOT NULL)[1]
+             THEN {_split(_FOLDER)}
              ELSE {_split('split')} END AS sp FROM audit_item),
 pairs AS (SELECT e.item_id AS eid, t2.item_id AS tid, e.sp, e.source, coalesce(e.sha = t2.sha, false) AS exact
         FROM t e JOIN t t2 ON e.sp <> 'train' AND t2.sp = 'train' AND {_near('e', 't2')})"""
@@ -100,5 +101,10 @@ OR EXISTS (SELECT 1 FROM c o WHERE o.batch_no < c.batch_no AND ({_near('c', 'o')
 z AS (SELECT group_id, count(*) AS rows FROM g GROUP BY 1), b AS (SELECT * FROM w WHERE rn = 1)
 SELECT z.group_id, z.rows, {_FIELD('source_name', 'src', 0)}, {_FIELD('class_name', 'cls', 0)}, {_FIELD('train_weight', 'train_weight', 0)}
 FROM z LEFT JOIN b USING (group_id) GROUP BY 1, 2""",
+    "p7_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), e AS (SELECT eval_id, {_WORDS} AS w FROM eval_item),
+di AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13),
+ei AS (SELECT eval_id, w, unnest(range(1, len(w) - 11)) AS k FROM e WHERE len(w) >= 13),
+dg AS (SELECT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM di), eg AS (SELECT eval_id, array_to_string(w[k:k + 12], ' ') AS g FROM ei)
+SELECT DISTINCT doc_id, eval_id FROM dg JOIN eg USING (g)""",
     "p5_found": f"WITH {_PLAN} SELECT name FROM q WHERE n * reps * ws < total * w",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import history, mixing, overlap, splits, survivors
+from larder.llm import history, leakage, mixing, overlap, packing, splits, subjects, survivors
 from larder.session import table
 
 
@@ -59,4 +59,41 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(table(spark, d, "image_item"), table(spark, d, "source_spec"), "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_report, p3_found, p4_found, p4_survivors, p5_found, p5_mix, p5_shares)}
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_containers(table(spark, d, "documents"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p6_containers(spark, d))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.word_for_word(leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_item")))
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_item"), budget=2)
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    documents, evals = table(spark, d, "documents"), table(spark, d, "eval_item")
+    return leakage.leak_report(leakage.leaked_passages(documents, evals, budget=2), documents, evals)
+
+
+def _subjects(spark: SparkSession, d: str) -> subjects.SubjectModel:
+    return subjects.SubjectModel(table(spark, d, "documents"), table(spark, d, "subject_area"), table(spark, d, "doc_label"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).found()
+
+
+def p8_makeup(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).makeup()
+
+
+def p8_labels(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.label_agreement(_subjects(spark, d).found(), table(spark, d, "doc_label"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_report, p3_found, p4_found, p4_survivors, p5_found, p5_mix, p5_shares, p6_containers, p6_fill, p7_found, p7_leaks, p7_report, p8_found, p8_makeup, p8_labels)}
