@@ -83,6 +83,9 @@ ACTIONS = {
         can lai mat ban can; thay gioang cua; rua luoi hut khoi; goi tho dien; doc dong ho ban dem; thu chuong bao khoi; siet ong ga; boc ong nong""",
 }
 
+#: runs of words that are part of a phrase above but common in sentences about nothing, or part of phrases of other subjects
+GENERIC_RUNS = {("vao", "thu", "sau"), ("at", "the", "net"), ("khoi", "dong", "lai")}
+
 
 def phrases(table: dict[str, str]) -> dict[str, list[tuple[str, ...]]]:
     return {subject: sorted({tuple(p.split()) for p in text.split(";") if p.strip()}) for subject, text in table.items()}

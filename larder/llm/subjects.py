@@ -22,7 +22,7 @@ _LEVELS = {"lexicon": 4, "things": 3, "actions": 3, "section": 3, "address": 2,
 
 
 class PhraseIndex:
-    """Phrases of all subjects as runs of at most three words; a longer phrase is met by any of its runs, so one typing error does not hide it. Runs that belong to two subjects are left out."""
+    """Phrases of all subjects as runs of at most three words; a longer phrase is met by any of its runs, so one typing error does not hide it. Runs that belong to two subjects, and generic ones, are left out."""
 
     def __init__(self, subjects: list[tuple[str, str]], things: dict[str, str], actions: dict[str, str]):
         self.subjects = [s for s, _ in subjects]
@@ -42,7 +42,7 @@ class PhraseIndex:
         self.vocabulary: dict[str, int] = {}
         by_size: dict[int, list[tuple[np.ndarray, int, int]]] = {}
         for run, owners in runs.items():
-            if len({k for k, _ in owners}) == 1:
+            if len({k for k, _ in owners}) == 1 and run not in lexicon.GENERIC_RUNS:
                 ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in run], dtype=np.int64)
                 by_size.setdefault(len(run), []).extend((ids, k, kind) for k, kind in owners)
         self.tables = []
