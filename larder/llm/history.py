@@ -17,6 +17,10 @@ def _bits_of(mask: int) -> list[int]:
     return [i for i in range(64) if mask >> i & 1]
 
 
+def _long(x: int) -> str:
+    return f"{x}L" if x > -(1 << 63) else "(-9223372036854775807L - 1L)"
+
+
 class HistoryIndex:
     """An inverted index of what has been accepted so far, kept in the shared folder.
 
@@ -54,16 +58,18 @@ class HistoryIndex:
         return rows.select(*carry, F.explode(F.array_compact(each)).alias("v")).select(*carry, "v.*")
 
     def _tokens(self, values: DataFrame, *, probe: bool) -> DataFrame:
-        token = lambda k, t: F.struct(F.lit(k).cast("tinyint").alias("k"), t.alias("tok"))
-        blocks = []
-        for k, mask in enumerate(self.masks):
-            own = F.col("v1").bitwiseAND(F.lit(mask))
-            blocks.append(token(2 + k, own))
-            if probe:
-                blocks += [token(2 + k, own.bitwiseXOR(F.lit(-(1 << 63) if i == 63 else 1 << i))) for i in _bits_of(mask)]
-        each = F.when(F.col("kind") < 2, F.array(F.struct(F.col("kind").alias("k"), F.col("v1").alias("tok")))).otherwise(F.array(*blocks))
-        t = values.select("kind", "v1", F.col("v2").alias("chk"), "at", F.explode(each).alias("t"))
-        t = t.select(F.col("kind").alias("base"), "v1", F.col("t.k").alias("kind"), F.col("t.tok").alias("tok"), "chk", "at")
+        """One row for each token: the value under a mask, with one bit turned or none.
+
+        The (kind, mask, turned bit) of each kind of value are one constant array.
+        """
+        blocks = [(2 + k, mask, 0) for k, mask in enumerate(self.masks)]
+        if probe:
+            blocks += [(2 + k, mask, -(1 << 63) if i == 63 else 1 << i) for k, mask in enumerate(self.masks) for i in _bits_of(mask)]
+        constant = lambda rows: F.expr("array(" + ", ".join(f"named_struct('k', {k}Y, 'mask', {_long(m)}, 'turn', {_long(t)})" for k, m, t in rows) + ")")
+        each = F.when(F.col("kind") == 0, constant([(0, -1, 0)])).when(F.col("kind") == 1, constant([(1, -1, 0)])).otherwise(constant(blocks))
+        t = values.select(F.col("kind").alias("base"), "v1", F.col("v2").alias("chk"), "at", F.explode(each).alias("t"))
+        token = F.col("v1").bitwiseAND(F.col("t.mask")).bitwiseXOR(F.col("t.turn"))
+        t = t.select("base", "v1", F.col("t.k").alias("kind"), token.alias("tok"), "chk", "at")
         return t.withColumn("part", F.pmod(F.xxhash64("kind", "tok"), F.lit(self.parts)).cast("int"))
 
     def append(self, rows: DataFrame) -> None:
