@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.words import WordIds, encode, gram_keys, words
+from larder.session import ship_package
 
 RUN = 13
 
@@ -125,6 +126,7 @@ def leaked_passages(
     same doc_id gives a row for each.
     """
     spark = documents.sparkSession
+    ship_package(spark)
     total = evals.agg(F.sum(F.length("text"))).collect()[0][0] or 0
     blocks = max(1, -(-total // block_chars))
     found = None

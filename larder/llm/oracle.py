@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-_SHA = "regexp_replace(regexp_replace(lower({c}), '^\\s*(sha-?256\\s*[:=\\-]?|0x)', ''), '[\\s:\\-_]', '', 'g')"
-_PH = "regexp_replace(regexp_replace(lower({c}), '\\s', '', 'g'), '^(0x|#)', '')"
-_NAME = "nullif(trim(regexp_replace(lower({c}), '[^a-z0-9]+', '_', 'g'), '_'), '')"
+from larder.plans import sql as Q
 
-
-def _sha(c: str) -> str:
-    x = _SHA.format(c=c)
-    return f"CASE WHEN regexp_full_match({x}, '[0-9a-f]{{64}}') THEN {x} END"
-
-
-def _ph(c: str) -> str:
-    x = f"nullif(regexp_extract({_PH.format(c=c)}, '^0*([0-9a-f]{{1,16}})$', 1), '')"
-    return f"nullif(nullif(CAST('0x' || {x} AS UBIGINT), 0), 18446744073709551615)"
-
-
-def _name(c: str) -> str:
-    return _NAME.format(c=c)
-
-
-def _split(c: str) -> str:
-    x = f"regexp_replace(lower({c}), '[^a-z]', '', 'g')"
-    return (f"CASE WHEN {x} IN ('train', 'training') THEN 'train' WHEN {x} IN ('val', 'valid', 'validation') THEN 'valid' "
-            f"WHEN {x} IN ('test', 'testing') THEN 'test' END")
+_sha, _ph, _name, _split, _CAPTURE = Q.sha, Q.ph, Q.name, Q.split, Q.CAPTURE
 
 
 def _near(a: str, b: str) -> str:
     return f"({a}.sha = {b}.sha OR bit_count(xor({a}.ph, {b}.ph)) <= 5)"
 
 
-_RAW_GROUP = "CASE WHEN source_group IS NULL OR NOT regexp_matches(source_group, '\\S') THEN image_path ELSE source_group END"
-_CAPTURE = _name(f"regexp_replace(regexp_extract(regexp_replace({_RAW_GROUP}, '[/\\\\\\s]+$', ''), '([^/\\\\]*)$', 1), '(?is)\\.rf\\..*$', '')")
 _RELATED = f"""
 r AS (SELECT record_id, coalesce(dataset, '') || '/' || {_CAPTURE} AS ckey, nullif({_sha('sha256')}, sha256('')) AS sha, {_split('split')} AS sp,
         coalesce(dataset, '') || '/' AS bare FROM source_record),
@@ -44,23 +22,14 @@ reach AS (SELECT DISTINCT a AS x, a AS y FROM e UNION SELECT reach.x, e.b FROM r
 root AS (SELECT x AS unit, min(y) AS root FROM reach GROUP BY x),
 m AS (SELECT u.*, coalesce(root.root, u.unit) AS root FROM u LEFT JOIN root USING (unit))"""
 
-_FOLDER = "regexp_extract(lower(rel_path), '(?:^|[/\\\\])\\s*(train|training|val|valid|validation|test|testing)\\s*[/\\\\]', 1)"
 _AUDIT = f"""
 t AS (SELECT item_id, {_name('source')} AS source, {_sha('sha256')} AS sha, {_ph('phash')} AS ph,
-        CASE WHEN split IS NULL OR NOT regexp_matches(split, '\\S')
-             THEN {_split(_FOLDER)}
-             ELSE {_split('split')} END AS sp FROM audit_item),
+        {Q.AUDIT_SPLIT} AS sp FROM audit_item),
 pairs AS (SELECT e.item_id AS eid, t2.item_id AS tid, e.sp, e.source, coalesce(e.sha = t2.sha, false) AS exact
         FROM t e JOIN t t2 ON e.sp <> 'train' AND t2.sp = 'train' AND {_near('e', 't2')})"""
 
-_RAW_URL = "regexp_replace(trim(image_url, ' \t\n\r'), '#.*$', '')"
-_REST = f"regexp_replace({_RAW_URL}, '^([A-Za-z][A-Za-z0-9+.\\-]*:)?//', '')"
-_CANDIDATE = f"""
-c0 AS (SELECT *, {_sha('sha256')} AS sha, {_ph('phash')} AS ph, {_REST} AS rest FROM recipe_candidate),
-c1 AS (SELECT *, lower(regexp_extract(rest, '^(?:[^/?@]*@)?([^/?:]*)', 1)) AS host, url_decode(regexp_extract(rest, '^[^/?]*([^?]*)', 1)) AS path,
-        url_decode(regexp_extract(regexp_extract(rest, '\\?(.*)$', 1), '(?:^|&)(?:i|%69)(?:d|%64)=([^&]*)', 1)) AS ident FROM c0),
-c AS (SELECT candidate_id, batch_no, batch_at, sha, ph,
-        CASE WHEN host <> '' AND NOT starts_with(path, '/static/') THEN host || chr(10) || CASE path WHEN '' THEN '/' ELSE path END || chr(10) || ident END AS url FROM c1),
+_CANDIDATE = f"""{Q.URL_PARTS},
+c AS (SELECT candidate_id, batch_no, batch_at, {_sha('sha256')} AS sha, {_ph('phash')} AS ph, {Q.URL} AS url FROM u1),
 i AS (SELECT accepted_at, {_sha('sha256')} AS sha, {_ph('phash')} AS ph FROM image_item WHERE accepted_at IS NOT NULL)"""
 
 _GROUPED = f"""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from larder.session import Scratch
+from larder.session import Scratch, ship_package
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -84,6 +84,7 @@ def measured(documents: DataFrame, *, tokenizer: str = TOKENIZER, seed: int = 5)
             steps = np.clip((1 / (1 + np.exp(-1.702 * points))) * (1 << _BITS), 0, (1 << _BITS) - 1)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": sizes, "key": hilbert_key(steps.astype(np.int64))})
 
+    ship_package(documents.sparkSession)
     texts = documents.select("doc_id", "text").where("text is not null and text != ''")
     return texts.mapInPandas(measure, "doc_id bigint, tokens bigint, key bigint").where("tokens > 0")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from larder.functions import values as V
 from larder.llm import lexicon
 from larder.llm.words import WordIds, encode, gram_keys, repair, words
-from larder.session import Scratch
+from larder.session import Scratch, ship_package
 
 SHARE = 0.2
 _ADDRESS = re.compile(r"(?:https?://|www\.)[^\s<>\"']+|[\w.+-]+@[\w.-]+\w")
@@ -93,6 +93,7 @@ class PhraseIndex:
 
 def subject_counts(documents: DataFrame, index: PhraseIndex) -> DataFrame:
     """(doc_id, source, total, either, things, actions, sections, address), the last five arrays by subject; a null text counts as empty."""
+    ship_package(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(index)  # phrases only
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
