@@ -1,2 +1,8 @@
-QUERIES = {}
-ORACLE = {}
+"""All queries of the general part, with their DuckDB equivalents."""
+
+from __future__ import annotations
+
+from larder.plans import dataset, dedup, texts
+
+QUERIES = {**dedup.QUERIES, **dataset.QUERIES, **texts.QUERIES}
+ORACLE = {**dedup.ORACLE, **dataset.ORACLE, **texts.ORACLE}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,21 @@ def shared_dir(spark: SparkSession) -> str:
 _local: str | None = None
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session; they may start elsewhere than the driver."""
+    context = spark.sparkContext
+    if getattr(context, "_larder_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():
+        at = Path(tempfile.mkdtemp(prefix="larder-")) / "larder-package.zip"
+        with zipfile.ZipFile(at, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(at))  # served by the driver to all executors
+    context._larder_shipped = True
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage and reuse results.
 
