@@ -46,12 +46,12 @@ class HistoryIndex:
     def values(rows: DataFrame, *carry: str) -> DataFrame:
         """(carry, kind, v1, v2) for each digest (0), address (1) and hash (2) of the rows.
 
-        rows: sha (64 hex digits), url (as read), ph (bits), any of them null.
+        rows: sha (64 hex digits), url (as read), ph (bits), any of them null.  Digests and
+        addresses are carried as 128 bits of hash.
         """
-        digest = lambda k: F.shiftleft(F.conv(F.substring("sha", k, 8), 16, 10).cast("bigint"), 32).bitwiseOR(F.conv(F.substring("sha", k + 8, 8), 16, 10).cast("bigint"))
         kind = lambda n, c, a, b: F.when(F.col(c).isNotNull(), F.struct(F.lit(n).cast("tinyint").alias("kind"), a.alias("v1"), b.alias("v2")))
         each = F.array(
-            kind(0, "sha", digest(1), digest(17)),
+            kind(0, "sha", F.xxhash64("sha"), F.xxhash64(F.lit("larder"), "sha")),
             kind(1, "url", F.xxhash64("url"), F.xxhash64(F.lit("larder"), "url")),
             kind(2, "ph", F.col("ph"), F.col("ph")),
         )
@@ -108,13 +108,13 @@ def known_candidates(candidates: DataFrame, accepted: DataFrame, *, max_distance
     The accepted pictures are indexed once with their times; the batches then go
     through the index in order of batch_no: probe, then append.  A picture not accepted
     yet (null time) knows nothing.  Candidates without a batch_no are probed against the
-    pictures alone; without batch_at no picture is older.
+    pictures alone; without batch_at no picture is older.  Rows without an id are left out.
     """
     spark = candidates.sparkSession
     scratch = Scratch(spark, "history")
     index = HistoryIndex(spark, scratch, max_distance=max_distance)
     index.append(read_pictures(accepted.where("accepted_at is not null"), F.col("accepted_at").alias("at")))
-    rows = scratch.keep(read_pictures(candidates, "candidate_id", "batch_no", F.col("batch_at").alias("at")), "candidates", partition_by="batch_no")
+    rows = scratch.keep(read_pictures(candidates.where("candidate_id is not null"), "candidate_id", "batch_no", F.col("batch_at").alias("at")), "candidates", partition_by="batch_no")
     # one value a batch, not one a row
     batches = sorted((r[0] for r in rows.select("batch_no").distinct().collect()), key=lambda b: (b is not None, b))
     found = scratch.path("known")

@@ -14,7 +14,7 @@ NEAR = 5
 
 
 def canonical_items(items: DataFrame) -> DataFrame:
-    """(item_id, split, source, sha, ph), read into one notation; rows without a split are left out.
+    """(item_id, split, source, sha, ph), read into one notation; rows without a split or an id are left out.
 
     The split is that of ``split``, or where that is null or blank, that of a folder of
     rel_path.
@@ -23,7 +23,7 @@ def canonical_items(items: DataFrame) -> DataFrame:
     return items.select(
         "item_id", split.alias("split"), V.read_name("source").alias("source"),
         F.unhex(V.sha256_text("sha256")).alias("sha"), V.phash_bits("phash").alias("ph"),
-    ).where("split is not null")
+    ).where("split is not null and item_id is not null")
 
 
 def cross_split_pairs(items: DataFrame, *, max_distance: int = NEAR) -> DataFrame:

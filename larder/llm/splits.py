@@ -24,6 +24,7 @@ class RelatedSets:
     Records without a capture (group and path blank) are linked by sha256 alone; a null
     data set counts as one named ''.  A variant_count that is null or below 1 weighs 1.
     A set none of whose records has a capture takes ``dataset/`` as its group_key.
+    Rows without a record_id are left out; repeated rows count as often as they come.
     """
 
     def __init__(self, records: DataFrame, scratch: Scratch | None = None):
@@ -36,7 +37,7 @@ class RelatedSets:
         flag = F.lit(0)
         for name, bit in _FLAGS.items():
             flag = F.when(split == name, bit).otherwise(flag)
-        r = records.select(
+        r = records.where("record_id is not null").select(
             "record_id",
             F.concat(data_set, F.lit("/"), capture).alias("capture_key"),
             F.concat(data_set, F.lit("/")).alias("bare_key"),

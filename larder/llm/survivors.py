@@ -31,7 +31,7 @@ def survivors(items: DataFrame, *, sources: DataFrame, classes: DataFrame, max_d
     Rows with equal digest and hash are folded first, with the greatest trust struct of
     each field; the folded rows are linked (stars over equal values, a banded Hamming
     join over distinct hashes), and a last aggregation takes the greatest structs of
-    each component.  Rows with neither value belong to no group.
+    each component.  Rows with neither value, or without an id, belong to no group.
     """
     scratch = Scratch(items.sparkSession, "survivors")
     listed = sources.select(V.read_name("name").alias("source")).where("source is not null").distinct()
@@ -39,7 +39,7 @@ def survivors(items: DataFrame, *, sources: DataFrame, classes: DataFrame, max_d
     rows = items.select(
         "item_id", "priority", "accepted_at", "train_weight", V.read_name("source_name").alias("source"), V.read_name("class_name").alias("class"),
         F.unhex(V.sha256_text("sha256")).alias("sha"), V.phash_bits("phash").alias("ph"),
-    ).where("sha is not null or ph is not null")
+    ).where("item_id is not null and (sha is not null or ph is not null)")
     rows = rows.join(listed.withColumn("source_ok", F.lit(True)), "source", "left").join(valid.withColumn("class_ok", F.lit(True)), "class", "left")
     usable = {
         "source_name": (F.col("source_ok"), F.col("source")),

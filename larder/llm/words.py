@@ -9,7 +9,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: combining marks and format characters, which belong to no word of their own
-_INSIDE = "̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯­؜᠎​-‏‪-‮⁠-⁤⁦-⁯﻿"
+_INSIDE = r"\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff"
 _RAW_WORD = re.compile(rf"[\w{_INSIDE}]+")
 #: a raw word, or the end of a sentence
 _WORD_OR_STOP = re.compile(rf"[\w{_INSIDE}]+|[.?!…]+(?=[\s<\"')\]]|$)|(?<=\s);(?=\s)|\n[ \t\r]*\n")
