@@ -101,9 +101,9 @@ def quota(items: DataFrame, group: str, order: str, accepted: str, *, per_group:
     Only the accepted rows below a group's limit are ranked.
     """
     ok = items.where(F.col(accepted)).select(group, order)
-    nth = ok.withColumn("_k", F.row_number().over(W.partitionBy(group).orderBy(order))).where(F.col("_k") == per_group).select(F.col(group).alias("_g"), F.col(order).alias("_last"))
-    joined = items.join(nth, F.col(group).eqNullSafe(F.col("_g")), "left")
-    return joined.where(F.col("_last").isNull() | (F.col(order) <= F.col("_last"))).drop("_g", "_last")
+    nth = ok.withColumn("_larder_k", F.row_number().over(W.partitionBy(group).orderBy(order))).where(F.col("_larder_k") == per_group).select(F.col(group).alias("_larder_g"), F.col(order).alias("_larder_last"))
+    joined = items.join(nth, F.col(group).eqNullSafe(F.col("_larder_g")), "left")
+    return joined.where(F.col("_larder_last").isNull() | (F.col(order) <= F.col("_larder_last"))).drop("_larder_g", "_larder_last")
 
 
 def repeat_rows(items: DataFrame, weight: str, *, when: Column | None = None, keep: list[str]) -> DataFrame:
@@ -130,8 +130,7 @@ def manifest_counts(items: DataFrame, split: str, label: str, splits: DataFrame,
 
 def count_tree(items: DataFrame, dims: list[str]) -> DataFrame:
     """(dimension, value, n): the total and the counts by each dimension, in one pass."""
-    spec = items.groupingSets([[]] + [[d] for d in dims], *dims) if hasattr(items, "groupingSets") else None
-    rows = spec.agg(F.count("*").alias("n"), *[F.grouping(d).alias(f"_{d}") for d in dims])
+    rows = items.groupingSets([[]] + [[d] for d in dims], *dims).agg(F.count("*").alias("n"), *[F.grouping(d).alias(f"_{d}") for d in dims])
     name, value = F.lit("total"), F.lit(None).cast("string")
     for d in dims:
         name = F.when(F.col(f"_{d}") == 0, d).otherwise(name)

@@ -19,10 +19,10 @@ def first_of_key(items: DataFrame, key: str, order: list[str]) -> DataFrame:
     Rows with a null key are never duplicates.  The first row is found by an
     aggregation, so a hot key is combined before the shuffle.
     """
-    firsts = items.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(*order)).alias("_first"))
-    joined = items.join(firsts, items[key] == F.col("_key"), "left")
+    firsts = items.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_larder_key")).agg(F.min(F.struct(*order)).alias("_larder_first"))
+    joined = items.join(firsts, items[key] == F.col("_larder_key"), "left")
     own = F.struct(*[items[c] for c in order])
-    return joined.select(*[items[c] for c in items.columns], F.coalesce(F.col(f"_first.{order[-1]}"), items[order[-1]]).alias(f"kept_{order[-1]}"), F.coalesce(own != F.col("_first"), F.lit(False)).alias("is_duplicate"))
+    return joined.select(*[items[c] for c in items.columns], F.coalesce(F.col(f"_larder_first.{order[-1]}"), items[order[-1]]).alias(f"kept_{order[-1]}"), F.coalesce(own != F.col("_larder_first"), F.lit(False)).alias("is_duplicate"))
 
 
 def class_conflicts(items: DataFrame, key: str, label: str, ident: str) -> DataFrame:

@@ -24,7 +24,7 @@ PORTRAIT_CELLS = (
 
 def _clamp(x: Column, top: Column | float) -> Column:
     top = top if isinstance(top, Column) else F.lit(top)
-    return F.greatest(F.lit(0.0), F.least(top, x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(top, x)))  # least and greatest pass over nulls
 
 
 def normalized_box(left: Column, top: Column, right: Column, bottom: Column, width: Column, height: Column, *, min_area: float = 0.005) -> Column:

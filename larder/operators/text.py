@@ -72,12 +72,12 @@ def text_filter(rows: DataFrame, text: str, *, positive: list[str], negative: li
     def bare(term: str) -> str:
         return "".join(c for c in normalize("NFKD", term) if not combining(c)).lower()
 
-    d = rows.withColumn("_text", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumn("_key", text_key(F.coalesce(F.col(text), F.lit(""))))
-    found = lambda terms: F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(term_present(F.col("_text"), F.col("_key"), t.lower(), bare(t), sensitive=t in sensitive), t) for t in terms] or [F.lit(None).cast("string")]))))
-    d = d.withColumn("_neg", found(negative)).withColumn("_pos", found(positive))
-    reason = F.when(F.size("_neg") > 0, F.concat(F.lit("negative_text:"), F.concat_ws("|", "_neg"))).when(F.size("_pos") == 0, "missing_positive_text")
-    reason = reason.otherwise(F.concat(F.lit("text_ok:"), F.concat_ws("|", F.slice("_pos", 1, 8))))
-    return d.withColumn("accepted", (F.size("_neg") == 0) & (F.size("_pos") > 0)).withColumn("reason", reason).drop("_text", "_key", "_neg", "_pos")
+    d = rows.withColumn("_larder_text", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumn("_larder_key", text_key(F.coalesce(F.col(text), F.lit(""))))
+    found = lambda terms: F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(term_present(F.col("_larder_text"), F.col("_larder_key"), t.lower(), bare(t), sensitive=t in sensitive), t) for t in terms] or [F.lit(None).cast("string")]))))
+    d = d.withColumn("_larder_neg", found(negative)).withColumn("_larder_pos", found(positive))
+    reason = F.when(F.size("_larder_neg") > 0, F.concat(F.lit("negative_text:"), F.concat_ws("|", "_larder_neg"))).when(F.size("_larder_pos") == 0, "missing_positive_text")
+    reason = reason.otherwise(F.concat(F.lit("text_ok:"), F.concat_ws("|", F.slice("_larder_pos", 1, 8))))
+    return d.withColumn("accepted", (F.size("_larder_neg") == 0) & (F.size("_larder_pos") > 0)).withColumn("reason", reason).drop("_larder_text", "_larder_key", "_larder_neg", "_larder_pos")
 
 
 def page_links(html: Column, base: str, path_pattern: str) -> Column:

@@ -25,5 +25,6 @@ def write_cache(rows: DataFrame, path: str, key: str) -> None:
 def summary_document(counts: DataFrame, dimension: str, value: str, n: str) -> DataFrame:
     """(json): {dimension: {value: n}} of a table of counts, sorted; a null value is named 'none'."""
     pair = F.struct(F.coalesce(value, F.lit("none")), F.col(n))
-    by = counts.groupBy(dimension).agg(F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("m"))
-    return by.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(dimension, "m"))))).alias("json"))
+    by = counts.groupBy(dimension).agg(F.array_sort(F.collect_list(pair)).alias("m"))
+    entries = F.array_sort(F.collect_list(F.struct(dimension, "m")))
+    return by.agg(F.to_json(F.map_from_entries(F.transform(entries, lambda e: F.struct(e[dimension], F.map_from_entries(e["m"]))))).alias("json"))
