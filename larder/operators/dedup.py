@@ -2,6 +2,7 @@
 
 Rows with equal hash (and class) are folded to their first row before any join, so a
 picture copied many times is one node; results give representatives and membership.
+Links are between distinct hashes or classes of rows, never between copies.
 """
 
 from __future__ import annotations
@@ -58,60 +59,80 @@ def near_duplicate_counts(items: DataFrame, value: str, ident: str, max_distance
 
 
 def audit_conflicts(items: DataFrame, *, max_distance: int = 8) -> DataFrame:
-    """(conflict_type, distance, rep_a, rep_b, members_a, members_b, class_a, class_b, split_a, split_b).
-
-    items: item_id, sha, ph, label, split (read into one notation).  Rows equal in all
-    of these are one class of rows; pairs are between the classes, rep_a < rep_b:
-    exact_cross_class (same file, different label), exact_cross_split (same file and
-    label, different split), near_cross_class (hashes within max_distance, different
-    label, not the same file).  Null labels and splits differ from nothing.
+    """(conflict_type, distance, rep_a, rep_b, members_a, members_b, pairs, class_a, class_b, split_a, split_b).
+
+    items: item_id, sha, ph, label, split (read into one notation).  Pairs are between
+    classes of rows, named by their least id, rep_a < rep_b: rows with the same file,
+    label and split for exact_cross_class (different label) and exact_cross_split (same
+    label, different split); rows with the same hash, label and split for
+    near_cross_class (hashes within max_distance, different label).  ``pairs`` counts the
+    pairs of rows behind a class pair; near ones of the same file are left out of it, and
+    a class pair without any other has no row.  Null labels and splits differ from
+    nothing.
     """
     scratch = Scratch(items.sparkSession, "audit")
-    c = scratch.keep(picture_classes(items, ["sha", "ph", "label", "split"], "item_id"), "classes")
-    side = lambda s: c.select(*[F.col(k).alias(f"{k}_{s}") for k in ("sha", "ph", "label", "split", "rep", "members")])
-    a, b = side("a"), side("b")
-    ordered = F.col("rep_a") < F.col("rep_b")
-    other_label, other_split = F.col("label_a") != F.col("label_b"), F.col("split_a") != F.col("split_b")
-    exact = a.join(b, (F.col("sha_a") == F.col("sha_b")) & ordered & (other_label | ((F.col("label_a") == F.col("label_b")) & other_split)))
-    exact = exact.withColumn("conflict_type", F.when(other_label, "exact_cross_class").otherwise("exact_cross_split")).withColumn("distance", F.lit(None).cast("int"))
-    links = scratch.keep(near_links(c, "ph", max_distance), "links")
+    rows = scratch.keep(items.select("item_id", "sha", "ph", "label", "split").where("label is not null"), "rows")
+    files = picture_classes(rows.where("sha is not null"), ["sha", "label", "split"], "item_id")
+    hashes = scratch.keep(picture_classes(rows.where("ph is not null"), ["ph", "label", "split"], "item_id"), "hashes")
+    side = lambda c, v, s: c.select(*[F.col(k).alias(f"{k}_{s}") for k in (v, "label", "split", "rep", "members")])
+    ordered, other_label, other_split = F.col("rep_a") < F.col("rep_b"), F.col("label_a") != F.col("label_b"), F.col("split_a") != F.col("split_b")
+    out = ["conflict_type", "distance", "rep_a", "rep_b", "members_a", "members_b", "pairs", F.col("label_a").alias("class_a"), F.col("label_b").alias("class_b"), "split_a", "split_b"]
+    all_pairs = F.col("members_a") * F.col("members_b")
+
+    a, b = side(files, "sha", "a"), side(files, "sha", "b")
+    exact = a.join(b, (F.col("sha_a") == F.col("sha_b")) & ordered & (other_label | other_split))
+    kind = F.when(other_label, "exact_cross_class").otherwise("exact_cross_split")
+    exact = exact.withColumn("conflict_type", kind).withColumn("distance", F.lit(None).cast("int")).withColumn("pairs", all_pairs)
+
+    links = scratch.keep(near_links(hashes, "ph", max_distance), "links")
     both = links.select("a", "b", "distance").unionAll(links.select("b", "a", "distance")).unionAll(
-        c.where("ph is not null").select(F.col("ph").alias("a"), F.col("ph").alias("b"), F.lit(0).alias("distance")).distinct())
+        hashes.select(F.col("ph").alias("a"), F.col("ph").alias("b"), F.lit(0).alias("distance")).distinct())
+    a, b = side(hashes, "ph", "a"), side(hashes, "ph", "b")
     near = a.join(both, F.col("ph_a") == F.col("a")).join(b, (F.col("b") == F.col("ph_b")) & ordered & other_label)
-    near = near.where(~F.coalesce(F.col("sha_a") == F.col("sha_b"), F.lit(False))).withColumn("conflict_type", F.lit("near_cross_class"))
-    out = ["conflict_type", "distance", "rep_a", "rep_b", "members_a", "members_b", F.col("label_a").alias("class_a"), F.col("label_b").alias("class_b"), "split_a", "split_b"]
+    # pairs of the same file, counted by file and class of hash
+    mixed = rows.where("sha is not null and ph is not null").groupBy("sha", "ph", "label", "split").agg(F.count("*").alias("c"))
+    multi = mixed.groupBy("sha").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("sha")
+    mixed = mixed.join(multi, "sha").join(hashes.withColumnRenamed("split", "_s"), ["ph", "label"]).where(F.col("split").eqNullSafe(F.col("_s"))).select("sha", "label", "rep", "c")
+    x, y = mixed.select("sha", F.col("label").alias("lx"), F.col("rep").alias("rep_a"), F.col("c").alias("cx")), mixed.select("sha", F.col("label").alias("ly"), F.col("rep").alias("rep_b"), F.col("c").alias("cy"))
+    same = x.join(y, "sha").where("rep_a < rep_b and lx != ly").groupBy("rep_a", "rep_b").agg(F.sum(F.col("cx") * F.col("cy")).alias("same"))
+    near = near.join(same, ["rep_a", "rep_b"], "left").withColumn("pairs", all_pairs - F.coalesce("same", F.lit(0))).where("pairs > 0").withColumn("conflict_type", F.lit("near_cross_class"))
     return exact.select(*out).unionByName(near.select(*out))
 
 
 def greedy_keep(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, kept): a node is kept if no kept earlier node is linked to it or shares its key.
+    """(id, kept): a node is kept if no kept earlier node is in its group, in a linked group, or has its key.
 
-    nodes: id, ord (unique, sortable), key (null: none).  links: early, late (ids).
-    Rounds decide every undecided node that has no undecided earlier neighbour (kept)
-    or a kept one (dropped); the first undecided node is always decided, so the number
-    of undecided nodes falls each round.
+    nodes: id, ord (unique, sortable), gid and key (null: none).  links: ga, gb (groups,
+    both ways).  In each round every undecided node that is the first of all undecided
+    nodes it touches is kept, and the others that touch a kept one are dropped.  Firsts
+    are found by aggregating over groups, links of groups and keys, never over pairs of
+    nodes; the first undecided node of all is always kept, so each round decides some.
     """
-    linked = links.select(F.col("early").alias("id")).unionAll(links.select("late")).distinct()
-    multi = nodes.where("key is not null").groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
-    active = nodes.join(linked, "id", "left_semi").unionAll(nodes.join(multi, "key", "left_semi").select(*nodes.columns)).distinct()
-    active, links = scratch.keep(active, "active"), scratch.keep(links.select("early", "late"), "links")
+    columns = ["id", "ord", "gid", "key"]
+    linked = links.select(F.col("ga").alias("gid")).distinct()
+    shared = lambda c: nodes.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n")).where("_n > 1").select(c)
+    touching = [nodes.join(linked, "gid", "left_semi"), nodes.join(shared("gid"), "gid", "left_semi"), nodes.join(shared("key"), "key", "left_semi")]
+    active = touching[0].select(*columns).unionAll(touching[1].select(*columns)).unionAll(touching[2].select(*columns)).distinct()
+    active, links = scratch.keep(active, "active"), scratch.keep(links.select("ga", "gb"), "links")
     decided = []
     while not active.isEmpty():
-        first = active.where("key is not null").groupBy("key").agg(F.min(F.struct("ord", "id")).alias("f")).select("key", F.col("f.id").alias("first"))
-        heads = active.join(first, "key", "left").where(F.coalesce(F.col("first") == F.col("id"), F.lit(True))).select("id", "key")
-        kept = scratch.keep(heads.join(links.select(F.col("late").alias("id")).distinct(), "id", "left_anti"), "kept")
-        by_link = links.join(kept.select(F.col("id").alias("early")), "early", "left_semi").select(F.col("late").alias("id"))
-        by_key = active.join(kept.where("key is not null").select("key"), "key", "left_semi").select("id")
-        dropped = by_link.unionAll(by_key).distinct().join(kept.select("id"), "id", "left_anti")
-        dropped = scratch.keep(dropped.join(active.select("id"), "id", "left_semi"), "dropped")
-        decided.append(kept.select("id", F.lit(True).alias("kept")).unionAll(dropped.select("id", F.lit(False))))
-        done = kept.select("id").unionAll(dropped)
-        rest = scratch.keep(active.join(done, "id", "left_anti").select(*nodes.columns), "active")
-        left = links.join(done.select(F.col("id").alias("early")), "early", "left_anti").join(done.select(F.col("id").alias("late")), "late", "left_anti")
-        left = scratch.keep(left.select("early", "late"), "links")
+        first = F.min(F.struct("ord", "id"))
+        of_group = active.where("gid is not null").groupBy("gid").agg(first.alias("fg"))
+        of_links = links.join(of_group.withColumnRenamed("gid", "ga"), "ga").groupBy(F.col("gb").alias("gid")).agg(F.min("fg").alias("fl"))
+        of_key = active.where("key is not null").groupBy("key").agg(first.alias("fk"))
+        seen = active.join(of_group, "gid", "left").join(of_links, "gid", "left").join(of_key, "key", "left")
+        own = F.struct("ord", "id")
+        leads = lambda c: F.col(c).isNull() | (own <= F.col(c))
+        kept = scratch.keep(seen.where(leads("fg") & leads("fl") & leads("fk")).select(*columns), "kept")
+        groups = kept.where("gid is not null").select("gid").distinct()
+        met = groups.unionAll(links.join(groups.withColumnRenamed("gid", "ga"), "ga").select(F.col("gb").alias("gid"))).distinct()
+        keys = kept.where("key is not null").select("key").distinct()
+        rest = active.join(kept.select("id"), "id", "left_anti").select(*columns)
+        marked = rest.join(met.withColumn("_g", F.lit(True)), "gid", "left").join(keys.withColumn("_k", F.lit(True)), "key", "left")
+        marked = scratch.keep(marked.select(*columns, (F.col("_g").isNotNull() | F.col("_k").isNotNull()).alias("out")), "marked")
+        decided += [kept.select("id", F.lit(True).alias("kept")), marked.where("out").select("id", F.lit(False).alias("kept"))]
         scratch.drop(active)
-        scratch.drop(links)
-        active, links = rest, left
+        active = marked.where("not out").select(*columns)
     if not decided:
         return nodes.select("id", F.lit(True).alias("kept"))
     out = decided[0]
@@ -133,17 +154,17 @@ def greedy_dedup(items: DataFrame, ident: str, order: Column, *, value: str = "p
     lab = F.coalesce(F.col(label), F.lit("")) if label else F.lit("")
     rows = scratch.keep(items.select(F.col(ident).alias("id"), order.alias("ord"), F.col(value).alias("v"), lab.alias("label"), k.alias("key")), "rows")
     known = rows.where("v is not null or key is not null")
-    nodes = known.groupBy("label", "v", "key").agg(F.min(F.struct("ord", "id")).alias("m"), F.count("*").alias("n"))
-    nodes = scratch.keep(nodes.select("label", "v", "key", F.col("m.id").alias("id"), F.col("m.ord").alias("ord"), "n"), "nodes")
-    links = near_links(nodes, "v", max_distance)
-    same = nodes.where("v is not null").select(F.col("v").alias("a"), F.col("v").alias("b")).distinct()
-    both = links.select("a", "b").unionAll(links.select("b", "a")).unionAll(same)
-    e = nodes.select(F.col("v").alias("a"), "label", F.col("id").alias("early"), F.col("ord").alias("o1"))
-    l = nodes.select(F.col("v").alias("b"), "label", F.col("id").alias("late"), F.col("ord").alias("o2"))
-    pairs = e.join(both, "a").join(l, ["b", "label"]).where("o1 < o2").select("early", "late")
-    got = greedy_keep(nodes.select("id", "ord", F.concat_ws("\0", "label", "key").alias("key") if label and key else F.col("key")), pairs, scratch)
-    reps = nodes.join(got, "id").select("label", F.col("v").alias("_v"), F.col("key").alias("_k"), F.col("id").alias("rep"), "kept")
-    r = rows.join(reps.withColumnRenamed("label", "_l"), (F.col("label") == F.col("_l")) & F.col("v").eqNullSafe(F.col("_v")) & F.col("key").eqNullSafe(F.col("_k")), "left")
+    nodes = known.groupBy("label", "v", "key").agg(F.min(F.struct("ord", "id")).alias("m"))
+    nodes = scratch.keep(nodes.select("label", "v", "key", F.col("m.id").alias("id"), F.col("m.ord").alias("ord")), "nodes")
+    groups = scratch.keep(nodes.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("gid")), "groups")
+    links = near_links(groups, "v", max_distance)
+    both = links.select("a", "b").unionAll(links.select("b", "a"))
+    ga, gb = groups.select(F.col("v").alias("a"), "label", F.col("gid").alias("ga")), groups.select(F.col("v").alias("b"), "label", F.col("gid").alias("gb"))
+    pairs = ga.join(both, "a").join(gb, ["b", "label"]).select("ga", "gb")
+    full = nodes.join(groups, ["label", "v"], "left").select("id", "ord", "gid", F.when(F.col("key").isNotNull(), F.concat_ws("\0", "label", "key")).alias("key"))
+    got = greedy_keep(full, pairs, scratch)
+    reps = nodes.join(got, "id").select(F.col("label").alias("_l"), F.col("v").alias("_v"), F.col("key").alias("_k"), F.col("id").alias("rep"), "kept")
+    r = rows.join(reps, (F.col("label") == F.col("_l")) & F.col("v").eqNullSafe(F.col("_v")) & F.col("key").eqNullSafe(F.col("_k")), "left")
     kept = F.when(F.col("rep").isNull(), True).otherwise(F.col("kept") & (F.col("rep") == F.col("id")))
     return r.select(F.col("id").alias(ident), F.coalesce("rep", "id").alias("rep"), kept.alias("kept"))
 
@@ -170,7 +191,8 @@ def hub_exclusion(items: DataFrame, ident: str, order: Column, *, max_distance:
     e = nodes.select(F.col("ph").alias("a"), F.col("label").alias("l1"), F.col("id").alias("early"), F.col("ord").alias("o1"))
     l = nodes.select(F.col("ph").alias("b"), F.col("label").alias("l2"), F.col("id").alias("late"), F.col("ord").alias("o2"))
     pairs = scratch.keep(e.join(both, "a").join(l, "b").where("o1 < o2 and l1 != l2").select("early", "late", "distance", "o1", "o2"), "pairs")
-    hubs = scratch.keep(greedy_keep(nodes.select("id", "ord", F.lit(None).cast("string").alias("key")), pairs, scratch), "hubs")
+    touched = pairs.select(F.col("early").alias("ga"), F.col("late").alias("gb")).unionAll(pairs.select("late", "early"))
+    hubs = scratch.keep(greedy_keep(nodes.select("id", "ord", F.col("id").alias("gid"), F.lit(None).cast("string").alias("key")), touched, scratch), "hubs")
     taken = pairs.join(hubs.where("kept").select(F.col("id").alias("early")), "early", "left_semi").join(hubs.where("not kept").select(F.col("id").alias("late")), "late", "left_semi")
     taken = taken.groupBy("late").agg(F.min(F.struct("o1", "early", "distance", "o2")).alias("m")).select("late", "m.*")
     taken = scratch.keep(taken, "taken")

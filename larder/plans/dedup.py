@@ -47,8 +47,7 @@ def audit_conflicts(spark, d):
 
 
 def audit_summary(spark, d):
-    pairs = F.col("members_a") * F.col("members_b")
-    return D.audit_conflicts(audited(spark, d)).groupBy("conflict_type", "class_a", "class_b").agg(F.count("*").alias("links"), F.sum(pairs).alias("pairs"))
+    return D.audit_conflicts(audited(spark, d)).groupBy("conflict_type", "class_a", "class_b").agg(F.count("*").alias("links"), F.sum("pairs").alias("pairs"))
 
 
 def quarantine_targets(spark, d):
@@ -87,12 +86,15 @@ QUERIES = {f.__name__: f for f in (exact_duplicates, url_duplicates, exact_class
 _I = f"""i AS (SELECT item_id, {Q.sha('sha256')} AS sha, {Q.ph('phash')} AS ph, {Q.name('class_name')} AS label, path,
         CASE WHEN priority BETWEEN 1 AND 9 THEN priority ELSE 10 END AS p FROM image_item)"""
 _CONFLICTS = f"""t AS (SELECT item_id, {Q.AUDIT_SPLIT} AS split, {Q.name('class_name')} AS label, {Q.sha('sha256')} AS sha, {Q.ph('phash')} AS ph FROM audit_item),
-c AS (SELECT sha, ph, label, split, min(item_id) AS rep, count(*) AS members FROM t GROUP BY ALL),
-x AS (SELECT CASE WHEN a.sha = b.sha AND a.label <> b.label THEN 'exact_cross_class' WHEN a.sha = b.sha AND a.label = b.label AND a.split <> b.split THEN 'exact_cross_split'
-        WHEN a.label <> b.label AND bit_count(xor(a.ph, b.ph)) <= 8 THEN 'near_cross_class' END AS conflict_type,
-        bit_count(xor(a.ph, b.ph)) AS dist, a.rep AS rep_a, b.rep AS rep_b, a.members AS members_a, b.members AS members_b, a.label AS class_a, b.label AS class_b,
-        a.split AS split_a, b.split AS split_b FROM c a JOIN c b ON a.rep < b.rep AND (a.sha = b.sha OR bit_count(xor(a.ph, b.ph)) <= 8)),
-k AS (SELECT conflict_type, CAST(CASE WHEN conflict_type = 'near_cross_class' THEN dist END AS INTEGER) AS distance, * EXCLUDE (conflict_type, dist) FROM x WHERE conflict_type IS NOT NULL)"""
+f AS (SELECT sha, label, split, min(item_id) AS rep, count(*) AS members FROM t WHERE sha IS NOT NULL AND label IS NOT NULL GROUP BY ALL),
+h AS (SELECT ph, label, split, min(item_id) AS rep, count(*) AS members FROM t WHERE ph IS NOT NULL AND label IS NOT NULL GROUP BY ALL),
+m AS (SELECT t.*, h.rep, h.members FROM t JOIN h ON t.ph = h.ph AND t.label = h.label AND t.split IS NOT DISTINCT FROM h.split),
+n AS (SELECT a.rep AS rep_a, b.rep AS rep_b, a.members AS members_a, b.members AS members_b, count(*) AS pairs, a.label AS class_a, b.label AS class_b, a.split AS split_a, b.split AS split_b,
+        CAST(bit_count(xor(a.ph, b.ph)) AS INTEGER) AS distance FROM m a JOIN m b ON a.rep < b.rep AND a.label <> b.label AND bit_count(xor(a.ph, b.ph)) <= 8 AND coalesce(a.sha <> b.sha, true) GROUP BY ALL),
+k AS (SELECT CASE WHEN a.label <> b.label THEN 'exact_cross_class' ELSE 'exact_cross_split' END AS conflict_type, CAST(NULL AS INTEGER) AS distance, a.rep AS rep_a, b.rep AS rep_b,
+        a.members AS members_a, b.members AS members_b, a.members * b.members AS pairs, a.label AS class_a, b.label AS class_b, a.split AS split_a, b.split AS split_b
+        FROM f a JOIN f b ON a.sha = b.sha AND a.rep < b.rep AND (a.label <> b.label OR a.split <> b.split)
+      UNION ALL SELECT 'near_cross_class', distance, rep_a, rep_b, members_a, members_b, pairs, class_a, class_b, split_a, split_b FROM n)"""
 
 
 def _greedy(order: str, label: str, key: str, t: int) -> str:
@@ -120,7 +122,7 @@ SELECT item_id, label, classes, members FROM i JOIN k USING (sha)""",
 l AS (SELECT a.ph, count(*) AS links FROM h a JOIN h b ON a.ph <> b.ph AND bit_count(xor(a.ph, b.ph)) <= 8 GROUP BY a.ph)
 SELECT item_id, coalesce(rep, item_id) AS rep, coalesce(copies, 1) AS copies, coalesce(links, 0) AS links FROM i LEFT JOIN h USING (ph) LEFT JOIN l USING (ph)""",
     "audit_conflicts": f"WITH {_CONFLICTS} SELECT * FROM k",
-    "audit_summary": f"WITH {_CONFLICTS} SELECT conflict_type, class_a, class_b, count(*) AS links, CAST(sum(members_a * members_b) AS BIGINT) AS pairs FROM k GROUP BY ALL",
+    "audit_summary": f"WITH {_CONFLICTS} SELECT conflict_type, class_a, class_b, count(*) AS links, CAST(sum(pairs) AS BIGINT) AS pairs FROM k GROUP BY ALL",
     "quarantine_targets": f"""WITH {_CONFLICTS}, s AS (SELECT unnest([rep_a, rep_b]) AS rep, conflict_type, rep_a, rep_b, class_a || '__vs__' || class_b AS folder FROM k WHERE conflict_type <> 'exact_cross_split')
 SELECT rep, folder FROM s QUALIFY row_number() OVER (PARTITION BY rep ORDER BY conflict_type, rep_a, rep_b) = 1""",
     "greedy_dedup_within_class": _greedy(_BY_FILE, "label", "NULL", 8),
