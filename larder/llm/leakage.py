@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.words import WordIds, encode, gram_keys, words
+from larder.llm.words import WordIds, encode, gram_keys, slices, words
 from larder.session import ship_package
 
 RUN = 13
@@ -111,14 +111,14 @@ class PassageIndex:
 
 
 def leaked_passages(
-    documents: DataFrame, evals: DataFrame, *, run: int = RUN, budget: int = 1, block_chars: int = 20_000_000
+    documents: DataFrame, evals: DataFrame, *, run: int = RUN, budget: int = 1, block_chars: int = 2_000_000
 ) -> DataFrame:
     """(doc_id, eval_id, distance, passages): documents that hold a passage of a test item.
 
     A passage is ``run`` consecutive words; it is held if some stretch of the document
     differs from it by at most ``budget`` words.  distance is the least found (0: word
     for word), passages how many passages of the item are held.  Items with fewer than
-    ``run`` words, and null or empty texts, hold and are held by nothing.
+    ``run`` words, null or empty texts, and rows without a doc_id, hold and are held by nothing.
 
     The test items form the query set: they are taken in blocks of at most
     ``block_chars`` characters, whose index goes to the tasks; documents are read once
@@ -139,12 +139,14 @@ def leaked_passages(
             own = index.value
             numbers = WordIds(own.vocabulary)
             for batch in batches:
-                ids, doc = encode(batch["text"], numbers, gap=own.run + 2 * own.budget)
-                hits = own.search(ids, doc)
-                hits.insert(0, "doc_id", batch["doc_id"].to_numpy()[hits["doc"].to_numpy(dtype=np.int64)])
-                yield hits[["doc_id", "eval_id", "distance", "passages"]].astype("int64")
-
-        one = documents.select("doc_id", "text").where("text is not null").mapInPandas(search, "doc_id bigint, eval_id bigint, distance bigint, passages bigint")
+                texts, names = batch["text"].tolist(), batch["doc_id"].to_numpy()
+                for part in slices(texts):
+                    ids, doc = encode(texts[part], numbers, gap=own.run + 2 * own.budget)
+                    hits = own.search(ids, doc)
+                    hits.insert(0, "doc_id", names[part][hits["doc"].to_numpy(dtype=np.int64)])
+                    yield hits[["doc_id", "eval_id", "distance", "passages"]].astype({"eval_id": "int64", "distance": "int64", "passages": "int64"})
+
+        one = documents.select("doc_id", "text").where("text is not null and doc_id is not null").mapInPandas(search, "doc_id bigint, eval_id bigint, distance bigint, passages bigint")
         found = one if found is None else found.unionByName(one)
     return found
 

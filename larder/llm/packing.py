@@ -64,7 +64,7 @@ def hilbert_key(points: np.ndarray, bits: int = _BITS) -> np.ndarray:
 
 
 def measured(documents: DataFrame, *, tokenizer: str = TOKENIZER, seed: int = 5) -> DataFrame:
-    """(doc_id, tokens, key): size of each text and its place on the curve; null and empty texts have no row.
+    """(doc_id, tokens, key): size of each text and its place on the curve; null and empty texts, and rows without a doc_id, have no row.
 
     The hashed vector of a text is the count of each token; it is projected to three
     dimensions by fixed random signs, scaled by its length, and each dimension mapped
@@ -85,7 +85,7 @@ def measured(documents: DataFrame, *, tokenizer: str = TOKENIZER, seed: int = 5)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": sizes, "key": hilbert_key(steps.astype(np.int64))})
 
     ship_package(documents.sparkSession)
-    texts = documents.select("doc_id", "text").where("text is not null and text != ''")
+    texts = documents.select("doc_id", "text").where("text is not null and text != '' and doc_id is not null")
     return texts.mapInPandas(measure, "doc_id bigint, tokens bigint, key bigint").where("tokens > 0")
 
 

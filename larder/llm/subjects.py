@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import values as V
 from larder.llm import lexicon
-from larder.llm.words import WordIds, encode, gram_keys, repair, words
+from larder.llm.words import WordIds, encode, gram_keys, repair, slices, words
 from larder.session import Scratch, ship_package
 
 SHARE = 0.2
@@ -92,16 +92,17 @@ class PhraseIndex:
 
 
 def subject_counts(documents: DataFrame, index: PhraseIndex) -> DataFrame:
-    """(doc_id, source, total, either, things, actions, sections, address), the last five arrays by subject; a null text counts as empty."""
+    """(doc_id, source, total, either, things, actions, sections, address), the last five arrays by subject; a null text counts as empty, rows without a doc_id are left out."""
     ship_package(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(index)  # phrases only
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
-        for batch in batches:
+        for whole, part in ((b, s) for b in batches for s in slices(b["text"].tolist())):
+            batch = whole.iloc[part]
             texts = [t or "" for t in batch["text"]]
             got = own.count(texts)
-            out = pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "total": got.pop("total")})
+            out = pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "source": batch["source"].to_numpy(), "total": got.pop("total")})
             for name, rows in got.items():
                 out[name] = list(rows)
             named = [{w for a in _ADDRESS.findall(t) for w in words(a)} if "@" in t or "://" in t or "www." in t else () for t in texts]
@@ -109,7 +110,7 @@ def subject_counts(documents: DataFrame, index: PhraseIndex) -> DataFrame:
             yield out
 
     fields = ", ".join(f"{c} array<bigint>" for c in ("either", "things", "actions", "sections", "address"))
-    return documents.select("doc_id", "text", "source").mapInPandas(count, f"doc_id bigint, source string, total bigint, {fields}")
+    return documents.where("doc_id is not null").select("doc_id", "text", "source").mapInPandas(count, f"doc_id bigint, source string, total bigint, {fields}")
 
 
 def source_lift(documents: DataFrame, labels: DataFrame, *, sample: int = 20_000) -> DataFrame:
@@ -178,16 +179,16 @@ class SubjectModel:
         listed = sorted({(r["subject"], r["description"] or "") for r in subjects.where("subject is not null").collect()})
         self.names = [s for s, _ in listed]
         counts = scratch.keep(subject_counts(documents, PhraseIndex(listed, things, actions)), "counts")
-        each = counts.select("doc_id", V.read_name("source").alias("source"), "total", F.posexplode(F.arrays_zip("either", "things", "actions", "sections", "address")).alias("subject", "c"))
+        each = counts.select("doc_id", V.read_name("source").alias("source"), "total", F.array_max("either").alias("most"), F.posexplode(F.arrays_zip("either", "things", "actions", "sections", "address")).alias("subject", "c"))
         lift = source_lift(documents, labels, sample=label_sample)
         numbered = spark.createDataFrame([(k, re.sub(r"[^a-z0-9]+", "_", s.lower()).strip("_")) for k, s in enumerate(self.names)], "subject int, subject_name string")
-        lift = scratch.keep(lift.join(numbered, "subject_name").select("source", "subject", "level"), "lift")
-        each = each.select("doc_id", "source", "total", "subject", "c.*").join(lift, ["source", "subject"], "left")
+        lift = scratch.keep(lift.join(numbered, "subject_name").where("level > 0").select("source", "subject", "level"), "lift")
+        each = each.select("doc_id", "source", "total", "most", "subject", "c.*").join(F.broadcast(lift), ["source", "subject"], "left")  # at most label_sample * subjects rows
         share = lambda c: F.try_divide(c, "total")
         part = lambda c: F.when(F.col(c) == 0, 0).when(share(c) < SHARE / 2, 1).otherwise(2)
         e = share("either")
         self.answers = each.select(
-            "doc_id", "total", "either", "subject",
+            "doc_id", "total", "most", "either", "subject",
             F.when(F.coalesce(e, F.lit(0.0)) < SHARE / 2, 0).when(e < SHARE, 1).when(e < 1.5 * SHARE, 2).otherwise(3).alias("lexicon"),
             part("things").alias("things"), part("actions").alias("actions"),
             F.when(F.col("either") <= 1, 0).when(F.col("sections") <= 1, 1).otherwise(2).alias("section"),
@@ -209,11 +210,8 @@ class SubjectModel:
         A single sentence beside another subject with more is a passing mention and no
         case.  Empty texts have no subject.
         """
-        from pyspark.sql.window import Window as W
-
         p = self.posteriors.where((F.col("either") > 0) & (F.col("total") > 0))
-        most = F.max("either").over(W.partitionBy("doc_id"))
-        p = p.withColumn("most", most).where((F.col("posterior") >= threshold) & (F.col("either") >= F.lit(share) * F.col("total")))
+        p = p.where((F.col("posterior") >= threshold) & (F.col("either") >= F.lit(share) * F.col("total")))
         return p.where("either > 1 or most = 1").select("doc_id", self._name().alias("subject"))
 
     def makeup(self, *, share: float = SHARE) -> DataFrame:

@@ -49,6 +49,18 @@ class WordIds(dict):
         return out
 
 
+def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterable[slice]:
+    """Consecutive runs of texts of about so many characters, so that the arrays of a task stay small."""
+    begin = size = 0
+    for k, text in enumerate(texts):
+        size += len(text or "")
+        if size >= chars:
+            yield slice(begin, k + 1)
+            begin, size = k + 1, 0
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
 def encode(texts: Iterable[str | None], ids: WordIds, *, sentences: bool = False, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The word numbers of all texts one after another, and the number of the text of each.
 
