@@ -91,8 +91,8 @@ class HistoryIndex:
         near = length & (V.hamming(F.col("p.chk"), F.col("i.chk")) <= self.max_distance)
         verified = F.when(F.col("p.kind") < 2, F.col("p.chk") == F.col("i.chk")).otherwise(near)
         older = F.col("i.at").isNull() | (F.col("i.at") < F.col("p.at"))
-        hits = probes.join(index, same & verified & older, "left_semi").select(F.col("base").alias("kind"), "v1", F.col("chk").alias("v2"), "at")
-        on = [own[c] == hits[c] for c in ("kind", "v1", "v2")] + [own["at"].eqNullSafe(hits["at"])]
+        hits = probes.join(index, same & verified & older, "left_semi").select(F.col("base").alias("_kind"), F.col("v1").alias("_v1"), F.col("chk").alias("_v2"), F.col("at").alias("_at"))
+        on = (F.col("kind") == F.col("_kind")) & (F.col("v1") == F.col("_v1")) & (F.col("v2") == F.col("_v2")) & F.col("at").eqNullSafe(F.col("_at"))
         return own.join(hits, on, "left_semi").select(id_col).distinct()
 
 

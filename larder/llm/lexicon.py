@@ -1,7 +1,7 @@
 """Phrases by which a sentence deals with a subject: things and actions, folded words, English and Vietnamese.
 
 The lists are a parameter of the subject operator; these are its defaults for the ten
-subjects of the canteen corpus.
+subjects of the test corpus.
 """
 
 from __future__ import annotations
