@@ -44,10 +44,12 @@ def search_pages(spark, d):
     return table(spark, d, "recipe_candidate").where("query is not null").select("candidate_id", X.search_address("https://recipes.bepnha.example/tim-kiem", F.col("query"), F.col("batch_no")).alias("address"))
 
 
+def _softmax(scores):
+    return E.softmax(F.transform(scores, lambda x: x.cast("double") * 10))
+
+
 def _scored(spark, d):
-    e = table(spark, d, "embeddings")
-    logits = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 10)
-    return e.select("vec_id", F.col("label"), E.top_k(E.softmax(logits), 5).alias("top"))
+    return table(spark, d, "embeddings").select("vec_id", F.col("label"), E.top_k(_softmax(F.slice("embedding", 1, 10)), 5).alias("top"))
 
 
 def softmax_topk(spark, d):
@@ -103,8 +105,8 @@ def epoch_means(spark, d):
 
 
 def focal_loss(spark, d):
-    s = _scored(spark, d).select("label", F.explode("top").alias("t")).where("t.class_index = label")
-    return s.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(E.focal_loss(F.col("t.p"), F.lit(1.5))), 4).alias("loss"))
+    s = table(spark, d, "embeddings").select("label", _softmax(F.slice("embedding", 1, 10))[F.col("label")].alias("p")).where("p is not null")
+    return s.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(E.focal_loss(F.col("p"), F.lit(1.5))), 4).alias("loss"))
 
 
 def _log(spark, d):
