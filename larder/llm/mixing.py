@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import values as V
-from larder.llm.subset import fit_subset
+from larder.llm.subset import closest_subset
 from larder.operators.skew import spread_rank
 from larder.session import Scratch
 
@@ -68,7 +68,7 @@ def mix_sources(rows: DataFrame, spec: DataFrame, ident: str, *, total: int | No
     for name, by_size in counts.items():
         own = sum(s * c for s, c in by_size.items())
         full = min(target[name] // own, plan[name]["max_repeats"])
-        extra = fit_subset(by_size, target[name] - full * own, below_only=True) if full < plan[name]["max_repeats"] else {}
+        extra = closest_subset(by_size, target[name] - full * own, below_only=True) if full < plan[name]["max_repeats"] else {}
         quota += [(name, s, full, extra.get(s, 0)) for s in by_size]
     q = rows.sparkSession.createDataFrame(quota, "_name string, _size bigint, full bigint, extra bigint")
     ranked = spread_rank(named, ["name", "size"], F.xxhash64(F.lit(seed), F.col(ident)), ident)

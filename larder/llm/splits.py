@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import values as V
-from larder.llm.subset import fit_subset
+from larder.llm.subset import closest_subset
 from larder.operators.components import connected_components, star_links
 from larder.operators.skew import spread_rank
 from larder.session import Scratch
@@ -86,7 +86,7 @@ class RelatedSets:
         used, quotas = dict.fromkeys(counts, 0), []
         for k, split in enumerate(order):
             left = {s: c - used[s] for s, c in counts.items()}
-            take = left if k == len(order) - 1 else fit_subset(left, round(total * (ratios[split] or 0) / whole))
+            take = left if k == len(order) - 1 else closest_subset(left, round(total * (ratios[split] or 0) / whole))
             for size, n in take.items():
                 if n:
                     quotas.append((size, split, used[size], used[size] + n))

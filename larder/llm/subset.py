@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+
 
 def fit_subset(counts: dict[int, int], target: int, *, max_bits: int = 1 << 20, below_only: bool = False) -> dict[int, int]:
     """How many items of each size to take so that their total is closest to target.
@@ -48,3 +52,60 @@ def fit_subset(counts: dict[int, int], target: int, *, max_bits: int = 1 << 20,
             best -= size * k
             taken[size] += k
     return {s: k for s, k in taken.items() if k}
+
+
+def closest_subset(counts: dict[int, int], target: int, *, max_bits: int = 1 << 20, below_only: bool = False) -> dict[int, int]:
+    """As ``fit_subset``, but its total is the closest of all subsets, whatever the sizes.
+
+    Where ``fit_subset`` misses the target, up to ``depth`` items of each size may be
+    given back and as many added; the depth is doubled until the total is met or no
+    greater depth can help.  That is so at twice the largest size (or four times the
+    miss): the exchanges that lead to a best subset, put in an order that keeps the
+    running sum near zero, would else come to one sum twice, and those between could be
+    left out.  After a miss this takes two bytes for each unit that may be given back.
+    """
+    counts = {s: c for s, c in counts.items() if s > 0 and c > 0}
+    taken = fit_subset(counts, target, max_bits=max_bits, below_only=below_only)
+    goal, unit = max(0, min(target, sum(s * c for s, c in counts.items()))), math.gcd(*counts) or 1
+    best_key = (goal % unit, False) if below_only else min((goal % unit, False), (-goal % unit, True))
+    miss, depth = goal - sum(s * k for s, k in taken.items()), 1
+    enough = min(max(counts.values(), default=0), 2 * max(max(counts, default=0), 2 * abs(miss)) // unit + 1)
+    while (abs(miss), miss < 0) > best_key:
+        base = {s: max(0, taken.get(s, 0) - depth) for s in counts}
+        free = {s // unit: min(c, taken.get(s, 0) + depth) - base[s] for s, c in counts.items()}
+        rest = goal - sum(s * k for s, k in base.items())
+        add = _closest_sum(free, rest, unit, rest if below_only else rest + abs(miss))
+        left = rest - sum(s * k * unit for s, k in add.items())
+        if (abs(left), left < 0) < (abs(miss), miss < 0):
+            taken, miss = {s: k + add.get(s // unit, 0) for s, k in base.items()}, left
+        if depth >= enough:
+            break
+        depth *= 2
+    return {s: k for s, k in taken.items() if k}
+
+
+def _closest_sum(counts: dict[int, int], rest: int, unit: int, most: int) -> dict[int, int]:
+    """How many of each size give the sum that, times unit, is closest to rest and at most ``most``; of two the smaller."""
+    limit, low = most // unit, rest // unit
+    want = low if 2 * (rest % unit) <= unit or low >= limit else low + 1
+    # the step by which each sum was reached first: the sum before it was reached by an earlier one
+    first = np.full(limit + 1, -1, dtype=np.int16 if sum(c.bit_length() for c in counts.values()) < 1 << 15 else np.int32)
+    first[0], steps = 0, []
+    for size in sorted(counts):
+        n, k = min(counts[size], limit // size), 1
+        while n > 0 and (want < 0 or first[want] < 0):
+            k = min(k, n)
+            steps.append((size, k))
+            at = np.flatnonzero((first[: -size * k] >= 0) & (first[size * k :] < 0))
+            first[at + size * k] = len(steps)
+            n -= k
+            k *= 2
+    sums = np.flatnonzero(first >= 0)
+    k = int(np.searchsorted(sums, low, side="right"))
+    total = min((int(s) for s in sums[max(0, k - 1) : k + 1]), key=lambda s: (abs(rest - s * unit), s))
+    add: dict[int, int] = {}
+    while total:
+        size, k = steps[first[total] - 1]
+        add[size] = add.get(size, 0) + k
+        total -= size * k
+    return add
