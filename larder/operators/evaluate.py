@@ -9,10 +9,9 @@ from pyspark.sql.window import Window as W
 
 def softmax(logits: Column) -> Column:
     """Probabilities of an array of scores, shifted by the greatest."""
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    once = lambda c, f: F.transform(F.array(c), f)[0]  # noqa: E731  # else computed again for each score
+    exps = once(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return once(exps, lambda e: once(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def top_k(probabilities: Column, k: int) -> Column:

@@ -53,7 +53,8 @@ def _scored(spark, d):
 
 
 def softmax_topk(spark, d):
-    return _scored(spark, d).select("vec_id", F.posexplode("top").alias("k", "t")).select("vec_id", "k", F.col("t.class_index").alias("class_index"), F.round("t.p", 6).alias("p"))
+    e = table(spark, d, "embeddings").select("vec_id", E.top_k(_softmax(F.col("embedding")), 5).alias("top"))
+    return e.select("vec_id", F.posexplode("top").alias("k", "t")).select("vec_id", "k", F.col("t.class_index").alias("class_index"), F.round("t.p", 6).alias("p"))
 
 
 def review_decision(spark, d):
