@@ -96,4 +96,8 @@ def p8_labels(spark: SparkSession, d: str) -> DataFrame:
     return subjects.label_agreement(_subjects(spark, d).found(), table(spark, d, "doc_label"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_report, p3_found, p4_found, p4_survivors, p5_found, p5_mix, p5_shares, p6_containers, p6_fill, p7_found, p7_leaks, p7_report, p8_found, p8_makeup, p8_labels)}
+def p8_heldout(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.held_out_agreement(table(spark, d, "documents"), table(spark, d, "subject_area"), table(spark, d, "doc_label"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_report, p3_found, p4_found, p4_survivors, p5_found, p5_mix, p5_shares, p6_containers, p6_fill, p7_found, p7_leaks, p7_report, p8_found, p8_makeup, p8_labels, p8_heldout)}

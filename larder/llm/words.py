@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterable
 
 import numpy as np
+import xxhash
 
 #: combining marks and format characters, which belong to no word of their own
 _INSIDE = r"\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff"
@@ -30,6 +31,21 @@ def words(text: str | None) -> list[str]:
     return [w for w in map(fold, _RAW_WORD.findall((text or "").replace("_", " "))) if w]
 
 
+class HashIds(dict):
+    """Raw word -> a positive 63-bit hash of the folded word, the same in every process; -1 for the end of a sentence, -2 for no word at all."""
+
+    def __missing__(self, raw: str) -> int:
+        if raw[0] in ".?!…;\n":
+            out = -1
+        else:
+            w = fold(raw)
+            out = xxhash.xxh3_64_intdigest(w) >> 1 | 1 if w else -2
+        if len(self) >= _CACHED:
+            self.clear()
+        self[raw] = out
+        return out
+
+
 class WordIds(dict):
     """Raw word -> number: 0 for a word outside the vocabulary, -1 for the end of a sentence, -2 for no word at all."""
 
@@ -61,7 +77,7 @@ def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterable[slice]:
         yield slice(begin, len(texts))
 
 
-def encode(texts: Iterable[str | None], ids: WordIds, *, sentences: bool = False, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def encode(texts: Iterable[str | None], ids: dict[str, int], *, sentences: bool = False, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The word numbers of all texts one after another, and the number of the text of each.
 
     After each text come ``gap`` ends of sentence, so nothing matches across texts.

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larder.llm import history, leakage, lexicon, mixing, overlap, packing, splits, subjects, survivors
+from larder.llm import history, leakage, mixing, overlap, packing, splits, subjects, survivors
 from larder.llm.subset import fit_subset
 from larder.llm.words import fold, repair, words
 
@@ -330,21 +330,70 @@ def test_words():
 # 8 -----------------------------------------------------------------------------------------------------------
 
 
-def test_subjects(spark):
-    things = {"a_b": "red apple; pear", "c": "blue car"}
-    docs = [
-        (1, "I like the red apple here. The pear is there now. Nothing to say here.", "s"),
-        (2, "A blue car came by today. A red apple fell down too. The blue car left us. No more to tell now.", "s"),
-        (3, "Nothing to say here. " * 20 + "A pear lies here now.", "s"), (4, None, None), (5, "", "s"), (6, "THE BLUE CAR IS LATE", "t"), (7, "Hi", None),
-        (8, "A pear is a pear today. " + "Blue car of mine here. " * 4, "s"),
-    ]
-    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
-    s = spark.createDataFrame([("A b", "fruit"), ("c", None), (None, None)], "subject string, description string")
-    labels = spark.createDataFrame([(1, "A B"), (2, "C "), (None, None)], "doc_id bigint, subject string")
-    model = subjects.SubjectModel(d, s, labels, things=things, actions={})
+def planted_subjects(seed, n=240):
+    """Documents of sentences made of a subject's own words between common ones, with the true subjects; every second one labelled, one label in twenty wrong."""
+    rng = random.Random(seed)
+    word = lambda p, i: f"{p}{chr(97 + i // 6)}{'aeiouy'[i % 6]}x"
+    own = {s: [word(s[0], i) for i in range(24)] for s in ("Art work", "bees", "cars")}
+    common = [word("w", i) for i in range(40)]
+    docs, truth, labels = [], set(), []
+    for d in range(n):
+        main = rng.choice(sorted(own))
+        told = [main] * rng.randrange(4, 9) + [None] * rng.randrange(0, 4)
+        if rng.random() < 0.3:
+            told += [rng.choice(sorted(own))] * 3
+        if rng.random() < 0.3:
+            told.append(rng.choice(sorted(own)))
+        text = []
+        for s in told:
+            w = [rng.choice(common) for _ in range(6)]
+            if s:
+                w[1:1] = [rng.choice(own[s]), rng.choice(own[s])]
+            text.append(" ".join(w).capitalize())
+        docs.append((d, ". ".join(text) + ".", rng.choice(["s", "T ", None])))
+        for s in own:
+            if told.count(s) >= 0.2 * len(told) and told.count(s) > 1:
+                truth.add((d, s))
+                if d % 2:
+                    labels.append((d, s.upper() if rng.random() > 0.05 else rng.choice(sorted(own))))
+    return docs, truth, labels
+
+
+def subject_tables(spark, docs, labels):
+    return (spark.createDataFrame(docs, "doc_id bigint, text string, source string"), spark.createDataFrame([("Art work", "Pictures"), ("bees", None), ("cars", "Roads"), (None, None)], "subject string, description string"),
+            spark.createDataFrame(labels + [(None, None), (1, " "), (1, "unheard of"), (10**6, "bees")], "doc_id bigint, subject string"))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_subjects_learnt_from_labels(spark, seed):
+    docs, truth, labels = planted_subjects(seed)
+    extra = [(900, None, None), (901, "", "s"), (902, "Hi", None), (903, "We drive on many roads today", "t"), (None, docs[0][1], "s")]
+    model = subjects.SubjectModel(*subject_tables(spark, docs + extra, labels))
     got = {tuple(r) for r in model.found().collect()}
-    assert got == {(1, "A b"), (2, "c"), (6, "c"), (8, "c")}
-    assert {r["subject"]: r["documents"] for r in model.makeup().collect()} == {"A b": 1, "c": 3}
+    assert not {d for d, _ in got} & {900, 901, 902, None} and (903, "cars") in got  # a seed of the description
+    got -= {(903, "cars")}
+    assert len(got & truth) >= 0.95 * len(got) and len(got & truth) >= 0.95 * len(truth)
+    bare = {tuple(r) for r in model.found(threshold=0).collect()}
+    assert len(bare) > len(got)  # the posterior leaves out passing mentions
+    assert {r["subject"]: r["documents"] for r in model.makeup().collect()}["bees"] == sum(s == "bees" for _, s in got)
+
+
+def test_subjects_without_labels(spark):
+    docs = [(i, "We looked at pictures of the house. Many pictures are here.", "s") for i in range(5)]
+    model = subjects.SubjectModel(*subject_tables(spark, docs, []))
+    assert {tuple(r) for r in model.found().collect()} == {(i, "Art work") for i in range(5)}
+
+
+def test_runs_of_sentences():
+    s = subjects.Sentences(["One two three. Four five.\n\nOne two, one two again!", None, ""], subjects.HashIds())
+    key, at = s.runs()
+    assert s.total.tolist() == [2, 0, 0]  # sentences of fewer than three words do not count
+    assert len(key) == (3 + 2 + 1) + (3 + 3 + 3) and len(set(zip(key.tolist(), at.tolist()))) == len(key)
+
+
+def test_log_odds_grow_with_evidence():
+    delta, z = subjects.log_odds(np.array([1.0, 10.0, 5.0]), np.array([1.0, 10.0, 50.0]), np.array([100.0] * 3), 1000.0)
+    assert z[1] > z[0] > 0 and abs(z[2]) < 0.5 and delta[1] > delta[2]
 
 
 def test_subjects_agree_with_labels(spark):
@@ -353,7 +402,3 @@ def test_subjects_agree_with_labels(spark):
 
     r = QUERIES["p8_labels"](spark, "/root/testdata/sf0.01").collect()
     assert sum(x["agreed"] for x in r) >= 0.95 * sum(x["labelled"] for x in r)
-
-
-def test_lexicon_has_all_subjects():
-    assert set(lexicon.THINGS) == set(lexicon.ACTIONS) and len(lexicon.THINGS) == 10
