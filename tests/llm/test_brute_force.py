@@ -187,6 +187,65 @@ def test_history_batch_by_batch(spark, seed):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
 
 
+def history_tables(spark, seed):
+    """(accepted, candidates, the ids that are known): five batches, copies and near copies within and between them."""
+    import datetime as dt
+
+    rng = random.Random(seed)
+    pics = pictures(rng, 240)
+    day = dt.datetime(2024, 1, 1)
+    old = [(i, *p, day + dt.timedelta(days=rng.randrange(40)) if rng.random() > 0.2 else None) for i, p in enumerate(pics[:120])]
+    new = [(i, b, day + dt.timedelta(days=5 * b) if b else None, None, *p) for i, p in enumerate(pics[120:]) for b in [rng.choice([None, 1, 2, 3, 4, 5])]]
+    want = {c[0] for c in new if any(a[3] and c[2] and a[3] < c[2] and same(read(*a[1:3]), read(*c[4:])) for a in old) or any(o[1] and c[1] and o[1] < c[1] and same(read(*o[4:]), read(*c[4:])) for o in new)}
+    accepted = spark.createDataFrame(old, "item_id bigint, sha256 string, phash string, accepted_at timestamp_ntz")
+    return accepted, spark.createDataFrame(new, "candidate_id bigint, batch_no int, batch_at timestamp_ntz, image_url string, sha256 string, phash string"), want
+
+
+@pytest.mark.parametrize("blocks,limit", [(2, None), (3, 2), (4, 1), (5, 2), (6, 1)])
+def test_history_of_any_width_and_with_frequent_tokens(spark, tmp_path, blocks, limit):
+    accepted, candidates, want = history_tables(spark, blocks)
+    index = history.HistoryIndex(spark, str(tmp_path), blocks=blocks, limit=limit, per_part=100)
+    got = [r[0] for r in history.known_candidates(candidates, accepted, index=index).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
+    assert limit is None or any(s["hot"] for s in index.segments)
+
+
+def test_history_opened_again_for_each_batch(spark, tmp_path):
+    accepted, candidates, want = history_tables(spark, 9)
+    got, none = [], accepted.limit(0)
+    for b in (None, 1, 2, 3, 4, 5):
+        index = history.HistoryIndex.open(spark, str(tmp_path), fan=3)
+        assert index.last_seq == (b - 1 if b and b > 1 else None)
+        upto = candidates.where("batch_no is null") if b is None else candidates.where(f"batch_no <= {b}")
+        got += [r[0] for r in history.known_candidates(upto, accepted if b is None else none, index=index).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    index = history.HistoryIndex.open(spark, str(tmp_path), fan=3)
+    assert 1 <= len(index.segments) < 6  # merged
+    assert history.known_candidates(candidates.where("batch_no is not null"), none, index=index).count() == 0  # every batch is there
+    with pytest.raises(ValueError):
+        history.HistoryIndex.open(spark, str(tmp_path), max_distance=4)
+
+
+def test_history_reads_the_parts_it_needs(spark, tmp_path):
+    rng = random.Random(1)
+    row = lambda h, seq: (None, None, h - (1 << 64) if h >> 63 else h, None, seq)
+    schema = "sha string, url string, ph bigint, at timestamp_ntz, seq int"
+    hashes = [rng.getrandbits(64) for _ in range(3000)]
+    index = history.HistoryIndex(spark, str(tmp_path), blocks=6, per_part=150)
+    index.append(spark.createDataFrame([row(h, 1) for h in hashes], schema))
+    one = spark.createDataFrame([(7, *row(hashes[5] ^ 0b10011, 2))], "id bigint, " + schema)
+    assert [r[0] for r in index.known(one, "id").collect()] == [7]
+    assert index.parts == 120 and 1 <= index.parts_read <= 6
+    assert index.known(one.withColumn("seq", F.lit(1)), "id").count() == 0
+
+
+def test_width_follows_the_size():
+    widths = [history.plan_blocks(n, 5) for n in (10, 10**5, 10**6, 10**9, 10**11)]
+    assert widths == sorted(widths, reverse=True) and widths[0] > 4 > widths[-1]
+    for blocks in (3, 4, 5, 6):  # the table of frequent tokens is bounded whatever the number of values
+        assert all(blocks * n / history.hot_limit(n, 5, blocks) < 150_000 for n in (10**4, 10**6, 10**9, 10**12))
+
+
 @pytest.mark.parametrize("seed", [5, 6])
 def test_survivors(spark, seed):
     import datetime as dt
