@@ -61,7 +61,7 @@ def hot_limit(values: int, max_distance: int, blocks: int) -> float:
 
 
 def _long(x: int) -> str:
-    x = signed(x)
+    x = signed(x) if x >= 0 else x
     return f"{x}L" if x > -(1 << 63) else "(-9223372036854775807L - 1L)"
 
 
@@ -229,7 +229,7 @@ class HistoryIndex:
                     fs.delete(at, True)
 
     def _probe(self, segment: dict, values: DataFrame, count: int) -> DataFrame:
-        """(base, v1, chk, at, seq): postings of a segment met by distinct values (kind, v1, v2), whatever their time."""
+        """(kind, v1, v2, at, seq): those of the distinct values that an earlier posting of the segment meets; the search of a value ends with its first hit."""
         m, parts = segment["blocks"], segment["parts"]
         of_hash = _constant(_asked(self.max_distance, m, None))
         if segment["hot"]:
@@ -240,7 +240,7 @@ class HistoryIndex:
             most = F.greatest(*[F.coalesce(F.col(f"_f{k}"), F.lit(0)) for k in range(m)])
             for k in range(m):
                 of_hash = F.when((most > 0) & (F.col(f"_f{k}") == most), _constant(_asked(self.max_distance, m, k))).otherwise(of_hash)
-        probes = self._tokens(values, of_hash, parts).alias("p")
+        probes = self._tokens(values, of_hash, parts, "at", "seq").alias("p")
         index = self._read(segment["name"])
         asked = count * probe_tokens(self.max_distance, m)
         self.parts += parts
@@ -250,34 +250,35 @@ class HistoryIndex:
             self.parts_read += len(wanted)
         else:
             self.parts_read += parts
-        if asked <= _SEND and not segment["hot"]:
-            probes = F.broadcast(probes).alias("p")  # at most _SEND rows
         index = index.alias("i")
         same = (F.col("p.part") == F.col("i.part")) & (F.col("p.kind") == F.col("i.kind")) & (F.col("p.tok") == F.col("i.tok"))
         length = F.abs(F.bit_count("p.chk").cast("int") - F.bit_count("i.chk").cast("int")) <= self.max_distance
         near = length & (V.hamming(F.col("p.chk"), F.col("i.chk")) <= self.max_distance)
         verified = F.when(F.col("p.kind") < 2, F.col("p.chk") == F.col("i.chk")).otherwise(near)
-        return index.join(probes, same & verified).select("p.base", "p.v1", "p.chk", "i.at", "i.seq")
+        older = F.coalesce(F.col("i.at") < F.col("p.at"), F.lit(False)) | F.coalesce(F.col("i.seq") < F.col("p.seq"), F.lit(False))
+        out = [F.col("p.base").alias("kind"), F.col("p.v1").alias("v1"), F.col("p.chk").alias("v2"), F.col("p.at").alias("at"), F.col("p.seq").alias("seq")]
+        if asked <= _SEND and not segment["hot"]:  # at most _SEND rows are sent
+            return index.join(F.broadcast(probes), same & verified & older).select(*out)
+        return probes.join(index, same & verified & older, "left_semi").select(*out)
 
     def known(self, rows: DataFrame, id_col: str) -> DataFrame:
         """(id): rows (id, sha, url, ph, at, seq) met by a value accepted before their ``at`` or by one of a batch before their ``seq``.
 
-        Equal values are probed once, so a hot picture is one probe.
+        Equal values of a batch are probed once, so a hot picture is one probe.
         """
         if not self.segments:
             return rows.select(id_col).limit(0)
         scratch = Scratch(self.spark, "history-probe")
-        own = scratch.keep(self.values(rows, id_col, "at", "seq"), "own")
-        values = scratch.keep(own.select("kind", "v1", "v2").distinct(), "probes")
+        never = [F.coalesce("at", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")).alias("at"), F.coalesce("seq", F.lit(-(1 << 31))).alias("seq")]
+        own = scratch.keep(self.values(rows, id_col, "at", "seq").select(id_col, "kind", "v1", "v2", *never), "own")
+        values = scratch.keep(own.select("kind", "v1", "v2", "at", "seq").distinct(), "probes")
         count = values.count()
         self.parts_read = self.parts = 0
         met = None
         for s in self.segments:
             one = self._probe(s, values, count)
             met = one if met is None else met.unionByName(one)
-        first = met.groupBy(F.col("base").alias("kind"), "v1", F.col("chk").alias("v2")).agg(F.min("at").alias("_at"), F.min("seq").alias("_seq"))
-        older = F.coalesce(F.col("_at") < F.col("at"), F.lit(False)) | F.coalesce(F.col("_seq") < F.col("seq"), F.lit(False))
-        return hot_salted_join(first, own, ["kind", "v1", "v2"], spread=F.col(id_col)).where(older).select(id_col).distinct()
+        return hot_salted_join(met.distinct(), own, ["kind", "v1", "v2", "at", "seq"], spread=F.col(id_col)).select(id_col).distinct()
 
     def process(self, rows: DataFrame, id_col: str) -> DataFrame:
         """(id): known rows of one or more new batches (id, sha, url, ph, at, seq), which are then part of the index.

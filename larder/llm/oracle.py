@@ -51,6 +51,20 @@ n AS (SELECT {_name('source_name')} AS name, count(*) AS n FROM image_item GROUP
 p AS (SELECT s.*, coalesce(n.n, 0) AS n FROM s LEFT JOIN n USING (name)),
 q AS (SELECT *, (SELECT sum(n) FROM p) AS total, (SELECT sum(w) FROM p) AS ws FROM p)"""
 
+
+def _mixed(total: str, sharing: str) -> str:
+    """Rows of unit size: whole targets, the units left over to the largest fractions, each source up to its repeats."""
+    return f"""{_PLAN},
+o AS (SELECT *, sum(CASE WHEN {sharing} THEN w END) OVER () AS sw FROM q),
+t AS (SELECT *, CAST({total} AS BIGINT) AS tot FROM o),
+b AS (SELECT *, CASE WHEN {sharing} THEN tot * w // sw ELSE 0 END AS whole, CASE WHEN {sharing} THEN tot * w % sw END AS part FROM t),
+r AS (SELECT *, tot - sum(whole) OVER () AS spare, row_number() OVER (ORDER BY part DESC NULLS LAST, name) AS k FROM b),
+g AS (SELECT *, CASE WHEN {sharing} THEN whole + CASE WHEN k <= spare THEN 1 ELSE 0 END ELSE 0 END AS budget FROM r),
+z AS (SELECT *, least(budget, n * reps) AS used FROM g)
+SELECT name, CASE WHEN {sharing} THEN w / sw ELSE 0.0 END AS target_share, CAST(least(used, n) AS BIGINT) AS rows_used, CAST(used AS BIGINT) AS size_used, used / sum(used) OVER () AS share,
+  CAST(CASE WHEN n = 0 OR used = 0 THEN 0 ELSE (used + n - 1) // n END AS INTEGER) AS max_copies, (n * reps * sw < tot * w AND {sharing}) OR NOT ({sharing}) AS short FROM z"""
+
+
 _WORDS = "regexp_extract_all(replace(lower(strip_accents(regexp_replace(text, '[\\x{ad}\\p{Cf}]', '', 'g'))), 'đ', 'd'), '[\\p{L}\\p{N}]+')"
 
 ORACLE = {
@@ -75,5 +89,16 @@ di AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w)
 ei AS (SELECT eval_id, w, unnest(range(1, len(w) - 11)) AS k FROM e WHERE len(w) >= 13),
 dg AS (SELECT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM di), eg AS (SELECT eval_id, array_to_string(w[k:k + 12], ' ') AS g FROM ei)
 SELECT DISTINCT doc_id, eval_id FROM dg JOIN eg USING (g)""",
+    # the closest total of all subsets for each smaller share; the largest takes the rest
+    "p1_totals": f"""WITH RECURSIVE {_RELATED},
+c AS (SELECT size, count(*) AS c, row_number() OVER (ORDER BY size DESC) AS i FROM (SELECT count(*) AS size FROM m GROUP BY root) GROUP BY size),
+s AS (SELECT split, CAST(round_even((SELECT count(*) FROM r) * ratio / (SELECT sum(ratio) FROM split_ratio), 0) AS BIGINT) AS target, row_number() OVER (ORDER BY ratio DESC, split DESC) AS k FROM split_ratio),
+lim AS (SELECT 2 * max(target) AS lim FROM s WHERE k > 1),
+reach2 AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS t UNION SELECT c.i, reach2.t + c.size * n.n FROM reach2 JOIN c ON c.i = reach2.i + 1, lim, LATERAL (SELECT unnest(range(0, least(c.c, (lim.lim - reach2.t) // c.size) + 1)) AS n) n),
+best AS (SELECT split, k, arg_min(t, (abs(t - target), t)) AS records FROM s, (SELECT DISTINCT t FROM reach2 WHERE i = (SELECT max(i) FROM c)) WHERE k > 1 GROUP BY split, k)
+SELECT split, CAST(records AS BIGINT) AS records FROM best UNION ALL SELECT split, CAST((SELECT count(*) FROM r) - (SELECT sum(records) FROM best) AS BIGINT) FROM s WHERE k = 1""",
+    "p1_split_faults": "SELECT CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS key, CAST(NULL AS BIGINT) AS splits WHERE false",
+    "p5_shares": f"WITH {_mixed('total', 'true')}",
+    "p5_exact_shares": f"WITH {_mixed('least(total, min(CASE WHEN n > 0 THEN n * reps * sw // w END) OVER ())', 'n > 0')}",
     "p5_found": f"WITH {_PLAN} SELECT name FROM q WHERE n * reps * ws < total * w",
 }

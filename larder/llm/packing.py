@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterator
-from math import ceil, log2
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from larder.session import Scratch, ship_package
 
 CAPACITY = 2048
+#: texts a container chooses from, the most it may look at, and the part to be filled that ends the search
+WINDOW, FARTHEST, ENOUGH = 64, 4096, 0.998
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _DIMS, _BITS = 3, 10
 
@@ -64,7 +66,7 @@ def hilbert_key(points: np.ndarray, bits: int = _BITS) -> np.ndarray:
 
 
 def measured(documents: DataFrame, *, tokenizer: str = TOKENIZER, seed: int = 5) -> DataFrame:
-    """(doc_id, tokens, key): size of each text and its place on the curve; null and empty texts, and rows without a doc_id, have no row.
+    """(doc_id, tokens, key, x, y, z): size of each text, its place on the curve, and its projected point; null and empty texts, and rows without a doc_id, have no row.
 
     The hashed vector of a text is the count of each token; it is projected to three
     dimensions by fixed random signs, scaled by its length, and each dimension mapped
@@ -82,71 +84,108 @@ def measured(documents: DataFrame, *, tokenizer: str = TOKENIZER, seed: int = 5)
                 v = signs[ids].sum(axis=0)
                 points[k] = v / max(1.0, float(np.sqrt((np.square(np.unique(ids, return_counts=True)[1])).sum())))
             steps = np.clip((1 / (1 + np.exp(-1.702 * points))) * (1 << _BITS), 0, (1 << _BITS) - 1)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": sizes, "key": hilbert_key(steps.astype(np.int64))})
+            steps = steps.astype(np.int64)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": sizes, "key": hilbert_key(steps), "x": steps[:, 0], "y": steps[:, 1], "z": steps[:, 2]})
 
     ship_package(documents.sparkSession)
     texts = documents.select("doc_id", "text").where("text is not null and text != '' and doc_id is not null")
-    return texts.mapInPandas(measure, "doc_id bigint, tokens bigint, key bigint").where("tokens > 0")
-
-
-def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The container of each item: largest first, into the fullest container that still has room."""
-    out = np.zeros(len(sizes), dtype=np.int64)
-    free: list[tuple[int, int]] = []
-    n = 0
-    for k in np.argsort(-sizes, kind="stable"):
-        size = int(sizes[k])
-        at = bisect_left(free, (size, -1))
-        if at < len(free):
-            room, box = free.pop(at)
-        else:
-            room, box = capacity, n
-            n += 1
-        out[k] = box
-        if room > size:
-            insort(free, (room - size, box))
-    return out
-
-
-def packed(sizes: DataFrame, *, capacity: int = CAPACITY, block: int = 2000, n_docs: int | None = None) -> DataFrame:
+    return texts.mapInPandas(measure, "doc_id bigint, tokens bigint, key bigint, x bigint, y bigint, z bigint").where("tokens > 0")
+
+
+def best_subset(sizes: list[int], room: int) -> list[int]:
+    """The places of the items whose total is the greatest that fits, the earliest items among equals.
+
+    Bit t of an integer says whether the items from a place on can reach the total t.
+    """
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for size in reversed(sizes):
+        r = reach[-1]
+        reach.append((r | r << size) & mask if size <= room else r)
+    rest, taken, n = reach[-1].bit_length() - 1, [], len(sizes)
+    for k, size in enumerate(sizes):
+        if not rest:
+            break
+        if size <= rest and reach[n - k - 1] >> (rest - size) & 1:
+            taken.append(k)
+            rest -= size
+    return taken
+
+
+def pack_along(pieces: Iterator[tuple[int, int, int, int]], capacity: int, window: int, farthest: int, enough: float) -> Iterator[tuple[int, int, int, int, int]]:
+    """(box, doc_id, part, start, tokens) of pieces (doc_id, part, start, tokens) that come along the curve.
+
+    A container begins with the first piece left and takes, of the next ``window`` pieces,
+    those that fill it best; where that is less than ``enough`` of the capacity, of four
+    times as many and so on, up to ``farthest``.  What it passes over stays in line.
+    """
+    waiting: deque[tuple[int, int, int, int]] = deque()
+    box, more = 0, True
+    while more or waiting:
+        while more and len(waiting) <= farthest:
+            piece = next(pieces, None)
+            more = piece is not None
+            if more:
+                waiting.append(piece)
+        if not waiting:
+            return
+        first = waiting.popleft()
+        yield (box, *first)
+        room, look, taken = capacity - first[3], window, []
+        while room and waiting:
+            sizes = [p[3] for p in islice(waiting, look)]
+            taken = best_subset(sizes, room)
+            left = room - sum(sizes[k] for k in taken)
+            if left <= (1 - enough) * capacity or look >= farthest or look >= len(waiting):
+                break
+            look *= 4
+        for k in taken:
+            yield (box, *waiting[k])
+        for k in reversed(taken):
+            del waiting[k]
+        box += 1
+
+
+def packed(sizes: DataFrame, *, capacity: int = CAPACITY, window: int = WINDOW, farthest: int = FARTHEST, enough: float = ENOUGH, per_range: int = 50_000, n_docs: int | None = None) -> DataFrame:
     """(container_id, doc_id, part, start, tokens): what lies in each container.
 
-    sizes: doc_id, tokens, key.  A text larger than the capacity is cut into full
-    containers and a rest; no other text is divided.  Neighbours on the curve are
-    packed together: counts of the cells of the curve give blocks of about ``block``
-    texts, and each block is packed by itself (best fit, largest first), wasting at most
-    about one half-filled container.  A cell with many texts (copies lie in one) is
-    spread over blocks of its own by doc_id.
+    sizes: doc_id, tokens, key.  Texts are sorted by their place on the curve into ranges
+    of about ``per_range`` texts (equal keys, such as copies, by a hash of doc_id, so a
+    hot key is cut into ranges too), and each range is packed along the curve, looking
+    ahead at ``window`` texts, or up to ``farthest`` where those leave too much room:
+    containers hold neighbours, and a task holds what it looks at, not a range.  A text larger than the capacity is cut into full containers and a rest; no
+    other text is divided.
     """
     n = sizes.count() if n_docs is None else n_docs
-    shift = _DIMS * _BITS - min(20, max(6, ceil(log2(max(n, 1) / block + 1)) + 4))
-    d = sizes.withColumn("cell", F.shiftright("key", shift))
-    cells = d.groupBy("cell").agg(F.count("*").alias("_n"))  # at most 2**20 rows
-    before = F.sum("_n").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1))
-    cells = cells.select("cell", F.floor(F.coalesce(before, F.lit(0)) / block).alias("_block"), F.ceil(F.col("_n") / (2 * block)).alias("_subs"))
-    d = d.join(cells, "cell").withColumn("sub", F.when(F.col("_subs") > 1, F.col("cell") * 4096 + F.pmod(F.xxhash64("doc_id"), "_subs") + 1).otherwise(0))
-    d = d.select("_block", "sub", "doc_id", "tokens", "key")
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "doc_id"], kind="stable").reset_index(drop=True)
-        tokens = group["tokens"].to_numpy()
-        whole = np.where(tokens > capacity, tokens // capacity, 0)
-        count = np.where(tokens > capacity, -(-tokens // capacity), 1)
-        row = np.repeat(np.arange(len(group)), count)
-        part = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        full = part < whole[row]
-        size = np.where(full, capacity, tokens[row] - part * capacity)
-        box = best_fit(size, capacity)
-        return pd.DataFrame({"block": group["_block"].iloc[0], "sub": group["sub"].iloc[0], "box": box, "doc_id": group["doc_id"].to_numpy()[row], "part": part, "start": part * capacity, "tokens": size})
-
-    out = d.groupBy("_block", "sub").applyInPandas(pack, "block bigint, sub bigint, box bigint, doc_id bigint, part bigint, start bigint, tokens bigint")
-    return out.select(F.concat_ws("-", "block", "sub", "box").alias("container_id"), "doc_id", "part", "start", "tokens")
-
-
-def fill_containers(documents: DataFrame, *, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, block: int = 2000) -> DataFrame:
+    ranges = max(1, -(-n // per_range))
+    spread = F.xxhash64("doc_id")
+    d = sizes.select("key", spread.alias("spread"), "doc_id", "tokens").repartitionByRange(ranges, "key", "spread", "doc_id").sortWithinPartitions("key", "spread", "doc_id")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part_no = TaskContext.get().partitionId()
+
+        def pieces() -> Iterator[tuple[int, int, int, int]]:
+            for batch in batches:
+                for doc, tokens in zip(batch["doc_id"].tolist(), batch["tokens"].tolist()):
+                    if tokens <= capacity:
+                        yield doc, 0, 0, tokens
+                    else:
+                        for part in range(-(-tokens // capacity)):
+                            yield doc, part, part * capacity, min(capacity, tokens - part * capacity)
+
+        got = pack_along(pieces(), capacity, window, farthest, enough)
+        while rows := list(islice(got, 50_000)):
+            out = pd.DataFrame(rows, columns=["box", "doc_id", "part", "start", "tokens"])
+            out.insert(0, "range", part_no)
+            yield out
+
+    out = d.select("doc_id", "tokens").mapInPandas(pack, "range bigint, box bigint, doc_id bigint, part bigint, start bigint, tokens bigint")
+    return out.select(F.concat_ws("-", "range", "box").alias("container_id"), "doc_id", "part", "start", "tokens")
+
+
+def fill_containers(documents: DataFrame, *, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, window: int = WINDOW, farthest: int = FARTHEST, enough: float = ENOUGH, per_range: int = 50_000) -> DataFrame:
     """Documents measured, ordered along the curve and packed; see ``measured`` and ``packed``."""
     scratch = Scratch(documents.sparkSession, "packing")
-    return packed(scratch.keep(measured(documents, tokenizer=tokenizer), "sizes"), capacity=capacity, block=block)
+    return packed(scratch.keep(measured(documents, tokenizer=tokenizer), "sizes"), capacity=capacity, window=window, farthest=farthest, enough=enough, per_range=per_range)
 
 
 def fill_report(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
@@ -154,3 +193,21 @@ def fill_report(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     boxes = pieces.groupBy("container_id").agg(F.sum("tokens").alias("t"))
     total = boxes.agg(F.count("*").alias("containers"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"))
     return total.select("containers", "tokens", F.ceil(F.col("tokens") / capacity).alias("least_containers"), F.try_divide("tokens", F.col("containers") * capacity).alias("fill"))
+
+
+def locality_report(pieces: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(texts, spread): one row; the mean squared distance of the texts of a container, as a share of that in random order.
+
+    sizes: doc_id, and the projected point x, y, z of each text.  The squares within a
+    container are summed about its mean and divided by what as many containers of the same
+    numbers of texts would have if texts were drawn at random.
+    """
+    axes = ("x", "y", "z")
+    rows = pieces.select("container_id", "doc_id").distinct().join(sizes.select("doc_id", *axes).dropDuplicates(["doc_id"]), "doc_id")
+    squares = lambda n: [(F.sum(F.pow(a, F.lit(2))) - F.sum(a) * F.sum(a) / n) for a in axes]
+    count = F.count("*")
+    inside = rows.groupBy("container_id").agg(count.alias("n"), sum(squares(count), F.lit(0.0)).alias("s"))
+    all_ = rows.agg(count.alias("_n"), sum(squares(F.greatest(count, F.lit(1))), F.lit(0.0)).alias("_s"))
+    got = inside.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("texts"), F.sum("s").alias("s"), F.sum(F.col("n") - 1).alias("free"))
+    by_chance = F.try_divide(F.col("_s"), F.col("_n") - 1) * F.col("free")
+    return got.join(F.broadcast(all_)).select("texts", F.round(F.try_divide("s", by_chance), 4).alias("spread"))  # one row

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions import values as V
 from larder.llm.subset import closest_subset
 from larder.operators.components import connected_components, star_links
-from larder.operators.skew import spread_rank
+from larder.operators.skew import hot_salted_join, spread_rank
 from larder.session import Scratch
 
 _FLAGS = {"train": 1, "valid": 2, "test": 4}
@@ -69,14 +69,19 @@ class RelatedSets:
         """(record_id, group_key): every record of each set whose splits differ now."""
         cases = self.sets.where(F.bit_count("flags") > 1).select("root", "group_key")
         units = self.units.select("unit", "root").join(cases, "root").select("unit", "group_key")
-        return self.records.select("record_id", "unit").join(units, "unit").select("record_id", "group_key")
+        return self.carried(units).select("record_id", "group_key")
+
+    def carried(self, units: DataFrame) -> DataFrame:
+        """The records with what ``units`` (a row for each unit) says of theirs; a hot unit is spread over several tasks."""
+        return hot_salted_join(units, self.records.select("record_id", "unit"), ["unit"], spread=F.col("record_id"))
 
     def assign(self, ratios: dict[str, float], *, seed: int = 7) -> DataFrame:
         """(root, split, records, weight): a split for each set, totals as near as possible to the shares.
 
         Set sizes with their multiplicities (at most about sqrt(2 * records) rows) are
         planned by subset sums, smallest share first; the last and largest share takes
-        the rest.  Which sets of a size go where is drawn by a seeded hash.
+        the rest.  Each total is the closest of all that the sets left allow, made of sizes
+        as they come in the whole.  Which sets of a size go where is drawn by a seeded hash.
         """
         spark = self.records.sparkSession
         sets = self.scratch.keep(self.sets.select("root", "records", "weight"), "sized")
@@ -86,7 +91,7 @@ class RelatedSets:
         used, quotas = dict.fromkeys(counts, 0), []
         for k, split in enumerate(order):
             left = {s: c - used[s] for s, c in counts.items()}
-            take = left if k == len(order) - 1 else closest_subset(left, round(total * (ratios[split] or 0) / whole))
+            take = left if k == len(order) - 1 else closest_subset(left, round(total * (ratios[split] or 0) / whole), seed=seed + k)
             for size, n in take.items():
                 if n:
                     quotas.append((size, split, used[size], used[size] + n))
@@ -108,7 +113,7 @@ def grouped_splits(records: DataFrame, ratio: DataFrame, *, seed: int = 7) -> Da
     sets = RelatedSets(records)
     given = sets.assign(split_ratios(ratio), seed=seed).select("root", "split")
     units = sets.units.select("unit", "root").join(given, "root").select("unit", "split")
-    return sets.records.select("record_id", "unit").join(units, "unit").select("record_id", "split")
+    return sets.carried(units).select("record_id", "split")
 
 
 def split_shares(records: DataFrame, ratio: DataFrame, *, seed: int = 7) -> DataFrame:
@@ -123,3 +128,18 @@ def split_shares(records: DataFrame, ratio: DataFrame, *, seed: int = 7) -> Data
         "split", "target_share", "records", F.try_divide("records", "_r").alias("record_share"),
         "weight", F.try_divide("weight", "_w").alias("weight_share"), "sets",
     )
+
+
+def split_faults(records: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(kind, key, splits): captures and files whose records were given more than one split; empty for a right assignment.
+
+    assigned: record_id, split.  Read from the records themselves, not from the sets.
+    """
+    capture = F.concat(F.coalesce("dataset", F.lit("")), F.lit("/"), V.read_capture("source_group", "image_path"))
+    sha = V.sha256_text("sha256")
+    each = F.array_compact(F.array(
+        F.when(capture.isNotNull(), F.struct(F.lit("capture").alias("kind"), capture.alias("key"))),
+        F.when(sha != V.empty_file_sha256(), F.struct(F.lit("file").alias("kind"), sha.alias("key")))))
+    rows = records.select(F.col("record_id"), F.explode(each).alias("k")).select("record_id", "k.kind", "k.key")
+    by = rows.join(assigned.select("record_id", "split"), "record_id").groupBy("kind", "key").agg(F.count_distinct("split").alias("splits"))
+    return by.where("splits > 1")

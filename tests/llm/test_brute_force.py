@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from larder.llm import history, leakage, mixing, overlap, packing, splits, subjects, survivors
-from larder.llm.subset import fit_subset
+from larder.llm.subset import closest_subset
 from larder.llm.words import fold, repair, words
 
 
@@ -42,27 +42,27 @@ def all_sums(counts):
     return sums
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.dictionaries(st.integers(1, 30), st.integers(1, 4), max_size=6), st.integers(0, 300), st.booleans())
-def test_subset_is_valid_and_near(counts, target, below):
-    got = fit_subset(counts, target, below_only=below)
+@settings(max_examples=400, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 5), max_size=6), st.integers(0, 500), st.booleans(), st.integers(0, 3))
+def test_subset_is_the_closest_of_all(counts, target, below, seed):
+    got = closest_subset(counts, target, below_only=below, seed=seed)
     assert all(0 < k <= counts[s] for s, k in got.items())
-    total = sum(s * k for s, k in got.items())
-    assert not below or total <= target
-    # the proportional part is fixed first; what remains is settled exactly
+    goal = min(target, sum(s * c for s, c in counts.items()))
+    assert sum(s * k for s, k in got.items()) == min((t for t in all_sums(counts) if not below or t <= goal), key=lambda t: (abs(goal - t), t))
+
+
+def test_subset_has_rare_sizes_too():
+    counts = {s: 3 for s in range(2, 300)} | {1: 5000}
     whole = sum(s * c for s, c in counts.items())
-    goal = min(target, whole)
-    base = {s: c * goal // whole for s, c in counts.items()} if whole else {}
-    left = {s: c - base.get(s, 0) for s, c in counts.items()}
-    start = sum(s * k for s, k in base.items())
-    best = min(abs(start + t - goal) for t in all_sums(left) if not below or start + t <= goal)
-    assert abs(total - goal) == best
+    got = closest_subset(counts, whole // 10)
+    assert sum(s * k for s, k in got.items()) == whole // 10
+    assert 40 <= sum(k for s, k in got.items() if s > 1) <= 140 and 400 <= got[1] <= 600  # as they come in the whole
 
 
-def test_subset_beyond_the_bitset():
-    counts = {1: 50, 7: 1000, 1000: 400}
-    got = fit_subset(counts, 200_003, max_bits=2000)
-    assert sum(s * k for s, k in got.items()) == 200_003
+def test_subset_of_large_totals():
+    counts = {s: max(1, 10**7 // s**2) for s in range(1, 3000)} | {3 * 10**9: 1}
+    assert sum(s * k for s, k in closest_subset(counts, 10**7 + 7).items()) == 10**7 + 7
+    assert closest_subset(counts, 10**8 + 7) == {s: c for s, c in counts.items() if s < 3000}  # all there is below the large one
 
 
 # 1 -----------------------------------------------------------------------------------------------------------
@@ -295,6 +295,20 @@ def test_mixing_with_sizes(spark):
     assert report["small"]["short"] == (own["small"] * 2 * 5 < total * 2)
 
 
+def test_mixing_with_exact_shares(spark):
+    rng = random.Random(3)
+    data = [(i, rng.choice(["a"] * 8 + ["b", "c"]), rng.randrange(1, 30)) for i in range(600)]
+    rows = spark.createDataFrame(data, "item_id bigint, source_name string, tokens int")
+    spec = spark.createDataFrame([("a", "r", 1, 1, 1), ("b", "r", 2, 1, 2), ("c", "r", 1, 1, 1), ("none", "r", 3, 1, 9)], "name string, root string, train_weight int, priority int, max_repeats int")
+    report = {r["name"]: r for r in mixing.mix_report(rows, spec, "item_id", size=F.col("tokens"), exact_shares=True).collect()}
+    assert report["none"]["short"] and not any(report[n]["short"] for n in "abc")
+    assert all(abs(report[n]["share"] - report[n]["target_share"]) < 0.005 for n in "abc") and report["b"]["target_share"] == 0.5
+    own = defaultdict(int)
+    for _, s, n in data:
+        own[s] += n
+    assert sum(report[n]["size_used"] for n in "abc") == min(2 * 2 * own["b"] // 2, 4 * own["c"])
+
+
 # 6 -----------------------------------------------------------------------------------------------------------
 
 
@@ -314,7 +328,7 @@ def test_containers_hold_every_text_once(spark):
     docs = spark.createDataFrame(data, "doc_id bigint, text string")
     enc = packing.load_tokenizer(packing.TOKENIZER)
     size = {i: len(enc.encode_ordinary(t)) for i, t in data if t}
-    got = packing.fill_containers(docs, block=40).collect()
+    got = packing.fill_containers(docs, per_range=40).collect()
     parts, room = defaultdict(list), defaultdict(int)
     for r in got:
         parts[r["doc_id"]].append((r["part"], r["start"], r["tokens"]))
@@ -324,7 +338,43 @@ def test_containers_hold_every_text_once(spark):
         p.sort()
         assert sum(t for *_, t in p) == size[i] and [s for _, s, _ in p] == [k * 2048 for k in range(len(p))]
         assert len(p) == 1 or size[i] > 2048
-    assert rows_of(packing.fill_containers(docs.repartition(7), block=40)) == sorted(map(tuple, got))
+    assert rows_of(packing.fill_containers(docs.repartition(7), per_range=40)) == sorted(map(tuple, got))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=9), st.integers(0, 60))
+def test_best_subset(sizes, room):
+    taken = packing.best_subset(sizes, room)
+    assert taken == sorted(set(taken))
+    sums = {0}
+    for n in sizes:
+        sums |= {t + n for t in sums}
+    assert sum(sizes[k] for k in taken) == max(t for t in sums if t <= room)
+
+
+@pytest.mark.parametrize("window,farthest", [(1, 1), (4, 4), (4, 64)])
+def test_packing_along_the_curve(window, farthest):
+    rng = random.Random(window)
+    pieces = [(i, 0, 0, rng.choice([1, 2, 10, 40, 70, 100])) for i in range(400)]
+    got = list(packing.pack_along(iter(pieces), 100, window, farthest, 0.99))
+    assert sorted(r[1] for r in got) == list(range(400))
+    boxes = defaultdict(list)
+    for box, doc, _, _, n in got:
+        boxes[box].append((doc, n))
+    assert all(sum(n for _, n in b) <= 100 for b in boxes.values())
+    if farthest == 4:  # what is passed over stays in line, so no text is far from its neighbours in the box
+        assert all(max(d for d, _ in b) - min(d for d, _ in b) <= 40 for b in boxes.values())
+    if farthest == 64:
+        assert sum(n for *_, n in got) >= 0.9 * 100 * len(boxes)
+
+
+def test_containers_hold_neighbours(spark):
+    rng = random.Random(8)
+    data = [(i, " ".join(rng.choice(["red", "green", "blue"] if i % 2 else ["seven", "eight", "nine"]) for _ in range(rng.randrange(30, 400)))) for i in range(600)]
+    sizes = packing.measured(spark.createDataFrame(data, "doc_id bigint, text string")).cache()
+    along = packing.locality_report(packing.packed(sizes, window=16, farthest=16), sizes).first()
+    loose = packing.locality_report(packing.packed(sizes.withColumn("key", F.lit(0).cast("bigint")), window=16, farthest=16), sizes).first()
+    assert along["texts"] == loose["texts"] == 600 and along["spread"] < 0.3 < 0.8 < loose["spread"]
 
 
 def rows_of(df):
