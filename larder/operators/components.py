@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from larder.session import Scratch
 
@@ -18,9 +17,9 @@ def star_links(pairs: DataFrame, key: str, node: str, *, salts: int = 32) -> Dat
     """
     p = pairs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(node).alias("v"))
     p = p.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)))
-    inner = p.withColumn("u", F.min("v").over(W.partitionBy("k", "s")))
-    heads = p.groupBy("k", "s").agg(F.min("v").alias("v"))
-    outer = heads.withColumn("u", F.min("v").over(W.partitionBy("k")))
+    heads = p.groupBy("k", "s").agg(F.min("v").alias("u"))
+    inner = p.join(heads, ["k", "s"])
+    outer = heads.join(heads.groupBy("k").agg(F.min("u").alias("_least")), "k").select(F.col("_least").alias("u"), F.col("u").alias("v"))
     return inner.where("u != v").select("u", "v").unionByName(outer.where("u != v").select("u", "v"))
 
 

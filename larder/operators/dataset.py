@@ -25,7 +25,8 @@ def shuffled_rank(df: DataFrame, groups: list[str], seed: int, ident: str) -> Da
     sizes = df.groupBy(*[F.col(g).alias(f"_g_{g}") for g in groups]).agg(F.count("*").alias("n"))
     ranked = spread_rank(df, groups, seeded_bits(seeded(seed, ident)), ident)
     on = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups] or [F.lit(True)]
-    return ranked.join(sizes, on).drop(*[f"_g_{g}" for g in groups])
+    joined = ranked.join(sizes if groups else F.broadcast(sizes), on)  # without groups one row
+    return joined.drop(*[f"_g_{g}" for g in groups])
 
 
 def representatives(records: DataFrame) -> DataFrame:
@@ -101,7 +102,9 @@ def quota(items: DataFrame, group: str, order: str, accepted: str, *, per_group:
     Only the accepted rows below a group's limit are ranked.
     """
     ok = items.where(F.col(accepted)).select(group, order)
-    nth = ok.withColumn("_larder_k", F.row_number().over(W.partitionBy(group).orderBy(order))).where(F.col("_larder_k") == per_group).select(F.col(group).alias("_larder_g"), F.col(order).alias("_larder_last"))
+    # the limit is pushed below the shuffle: each task hands on per_group rows of a group
+    first = ok.withColumn("_larder_k", F.row_number().over(W.partitionBy(group).orderBy(order))).where(F.col("_larder_k") <= per_group)
+    nth = first.where(F.col("_larder_k") == per_group).select(F.col(group).alias("_larder_g"), F.col(order).alias("_larder_last"))
     joined = items.join(nth, F.col(group).eqNullSafe(F.col("_larder_g")), "left")
     return joined.where(F.col("_larder_last").isNull() | (F.col(order) <= F.col("_larder_last"))).drop("_larder_g", "_larder_last")
 
@@ -113,12 +116,15 @@ def repeat_rows(items: DataFrame, weight: str, *, when: Column | None = None, ke
     return items.select(*keep, F.explode(F.sequence(F.lit(0), n - 1)).alias("repeat_index"))
 
 
-def class_weights(items: DataFrame, label: str, labels: DataFrame) -> DataFrame:
-    """(label, n, weight, sample_weight): total / (K * max(n, 1)) and 1 / max(n, 1) for each listed label; others do not count."""
+def class_weights(items: DataFrame, label: str, labels: DataFrame, *, boosts: dict[str, float] | None = None) -> DataFrame:
+    """(label, n, weight, sample_weight): total / (K * max(n, 1)) and 1 / max(n, 1) times the label's boost for each listed label; others do not count."""
+    boost = F.lit(1.0)
+    for name, factor in (boosts or {}).items():
+        boost = F.when(F.col(label) == name, float(factor)).otherwise(boost)
     counts = labels.join(items.groupBy(label).agg(F.count("*").alias("n")), label, "left").na.fill(0, ["n"])
     sums = counts.agg(F.sum("n").alias("_t"), F.count("*").alias("_k"))
     floor = F.greatest(F.col("n"), F.lit(1))
-    return counts.join(F.broadcast(sums)).select(label, "n", (F.col("_t") / (F.col("_k") * floor)).alias("weight"), (F.lit(1.0) / floor).alias("sample_weight"))  # one row
+    return counts.join(F.broadcast(sums)).select(label, "n", (F.col("_t") / (F.col("_k") * floor)).alias("weight"), (F.lit(1.0) / floor * boost).alias("sample_weight"))  # one row
 
 
 def manifest_counts(items: DataFrame, split: str, label: str, splits: DataFrame, labels: DataFrame, size: str) -> DataFrame:

@@ -111,6 +111,18 @@ def epoch_means(batches: DataFrame, run: str, loss: str, correct: str, size: str
     return batches.groupBy(run).agg((F.sum(F.col(loss) * F.col(size)) / n).alias("loss"), (F.sum(correct) / n).alias("accuracy"))
 
 
-def focal_loss(probability: Column, weight: Column, *, gamma: float = 2.0) -> Column:
-    """(1 - p)**gamma times the weighted log loss of the true class."""
-    return F.pow(1 - probability, F.lit(gamma)) * weight * -F.ln(probability)
+def focal_loss(probabilities: Column, label: Column, weights: Column | None = None, *, gamma: float = 2.0, smoothing: float = 0.0) -> Column:
+    """(1 - p)**gamma times the weighted log loss, p being e to the minus unweighted log loss.
+
+    With smoothing each class has that part of one, shared evenly, in the truth; weights
+    (one for each class) weigh every class by its own.  Null for a label that is no class.
+    """
+    logs = F.transform(probabilities, lambda p: F.ln(p))
+    part = lambda i: (F.lit(1.0 - smoothing) * (i == label).cast("double") + F.lit(smoothing) / F.size(probabilities))
+    total = lambda w: F.aggregate(F.transform(logs, lambda x, i: -x * part(i) * (w[i] if w is not None else F.lit(1.0))), F.lit(0.0), lambda a, x: a + x)
+    if smoothing == 0.0:
+        loss = -F.get(logs, label)
+        weighted = loss * F.get(weights, label) if weights is not None else loss
+    else:
+        loss, weighted = total(None), total(weights)
+    return F.when((label >= 0) & (label < F.size(probabilities)), F.pow(1 - F.exp(-loss), F.lit(gamma)) * weighted)

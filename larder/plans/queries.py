@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.plans import dataset, dedup, texts
+from larder.plans import dataset, dedup, selection, texts
 
-QUERIES = {**dedup.QUERIES, **dataset.QUERIES, **texts.QUERIES}
-ORACLE = {**dedup.ORACLE, **dataset.ORACLE, **texts.ORACLE}
+QUERIES = {**dedup.QUERIES, **dataset.QUERIES, **texts.QUERIES, **selection.QUERIES}
+ORACLE = {**dedup.ORACLE, **dataset.ORACLE, **texts.ORACLE, **selection.ORACLE}

@@ -23,7 +23,7 @@ def text_term_filter(spark, d):
 
 
 def slugify_titles(spark, d):
-    return table(spark, d, "recipe_candidate").select("candidate_id", X.safe_slug(F.col("title"), 24).alias("slug"), X.safe_label(F.col("title")).alias("label"))
+    return table(spark, d, "recipe_candidate").select("candidate_id", X.safe_slug(F.col("title")).alias("slug"), X.safe_label(F.col("title")).alias("label"))
 
 
 def page_links(spark, d):
@@ -49,7 +49,7 @@ def _softmax(scores):
 
 
 def _scored(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.col("label"), E.top_k(_softmax(F.slice("embedding", 1, 10)), 5).alias("top"))
+    return table(spark, d, "embeddings").select("vec_id", F.col("label"), E.top_k(_softmax(F.col("embedding")), 5).alias("top"))  # 64 classes, of which the labels name ten
 
 
 def softmax_topk(spark, d):
@@ -74,7 +74,7 @@ def _predicted(spark, d):
 
 
 def _classes(spark):
-    return spark.range(10).select(F.col("id").cast("int").alias("label"))
+    return spark.range(64).select(F.col("id").cast("int").alias("label"))
 
 
 def confusion_matrix(spark, d):
@@ -105,9 +105,15 @@ def epoch_means(spark, d):
     return E.epoch_means(li, "l_returnflag", "loss", "correct", "size")
 
 
+_CLASS_WEIGHTS = [1 + k % 4 / 2 for k in range(64)]
+
+
 def focal_loss(spark, d):
-    s = table(spark, d, "embeddings").select("label", _softmax(F.slice("embedding", 1, 10))[F.col("label")].alias("p")).where("p is not null")
-    return s.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(E.focal_loss(F.col("p"), F.lit(1.5))), 4).alias("loss"))
+    w = F.array(*map(F.lit, _CLASS_WEIGHTS))
+    p = table(spark, d, "embeddings").select("label", _softmax(F.col("embedding")).alias("p"))
+    loss = lambda **k: E.focal_loss(F.col("p"), F.col("label"), w, **k)
+    s = p.select("label", loss().alias("plain"), loss(smoothing=0.1).alias("smooth"))
+    return s.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("plain"), 6).alias("loss"), F.round(F.avg("smooth"), 6).alias("smoothed_loss"))
 
 
 def _log(spark, d):
@@ -173,8 +179,8 @@ def _terms(ts: list[str], n: int) -> str:
 _LOG = """g AS (SELECT event_id, ts, CASE WHEN user_id % 9 = 0 THEN ' ' ELSE user_id::VARCHAR END AS item,
   CASE event_type WHEN 'click' THEN 'mark_done' WHEN 'error' THEN 'undo_done' WHEN 'signup' THEN 'undo' ELSE 'move' END AS action FROM events),
 dn AS (SELECT item, arg_max(action, (ts, event_id)) AS action FROM g WHERE action IN ('mark_done', 'undo_done') AND item <> ' ' GROUP BY item HAVING arg_max(action, (ts, event_id)) <> 'undo_done')"""
-_S = """z AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: exp(x::DOUBLE * 10 - list_max(embedding[1:10])::DOUBLE * 10)) AS e FROM embeddings),
-y AS (SELECT vec_id, label, unnest(list_transform(e, lambda x: x / list_sum(e))) AS p, CAST(unnest(range(10)) AS INTEGER) AS class_index FROM z),
+_S = """z AS (SELECT vec_id, label, list_transform(embedding, lambda x: exp(x::DOUBLE * 10 - list_max(embedding)::DOUBLE * 10)) AS e FROM embeddings),
+y AS (SELECT vec_id, label, unnest(list_transform(e, lambda x: x / list_sum(e))) AS p, CAST(unnest(range(64)) AS INTEGER) AS class_index FROM z),
 s AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, class_index) - 1 AS INTEGER) AS k FROM y),
 w AS (SELECT vec_id, label, max(CASE WHEN k = 0 THEN class_index END) AS c1, max(CASE WHEN k = 0 THEN p END) AS p1, max(CASE WHEN k = 1 THEN p END) AS p2,
   bool_or(k < 3 AND class_index = (label + 1) % 10) AS in3, coalesce(max(CASE WHEN k < 5 AND class_index = label THEN p END), 0) AS pt FROM s GROUP BY 1, 2)"""
@@ -184,7 +190,7 @@ ORACLE = {
 x AS (SELECT *, {_terms(_NEGATIVE, 99)} AS neg, {_terms(_POSITIVE, 8)} AS pos FROM c)
 SELECT candidate_id, len(neg) = 0 AND len(pos) > 0 AS accepted, CASE WHEN len(neg) > 0 THEN 'negative_text:' || array_to_string(neg, '|') WHEN len(pos) = 0 THEN 'missing_positive_text' ELSE 'text_ok:' || array_to_string(pos, '|') END AS reason FROM x""",
     "slugify_titles": """WITH s AS (SELECT candidate_id, title, trim(regexp_replace(lower(strip_accents(translate(coalesce(title, ''), 'đĐ', 'dD'))), '[^a-z0-9]+', '_', 'g'), '_') AS x FROM recipe_candidate)
-SELECT candidate_id, rtrim(left(CASE WHEN x = '' THEN 'item' ELSE x END, 24), '_') AS slug, coalesce(nullif(regexp_replace(trim(coalesce(title, '')), '[^\\pL\\pN_\\-]', '_', 'g'), ''), 'item') AS label FROM s""",
+SELECT candidate_id, rtrim(left(CASE WHEN x = '' THEN 'item' ELSE x END, 80), '_') AS slug, coalesce(nullif(regexp_replace(trim(coalesce(title, '')), '[^\\pL\\pN_\\-]', '_', 'g'), ''), 'item') AS label FROM s""",
     "page_links": "SELECT DISTINCT batch_no, recipe_url AS link FROM recipe_candidate WHERE regexp_matches(recipe_url, '/vn/\\d+') UNION SELECT DISTINCT batch_no, 'https://recipes.bepnha.example/vn/7' FROM recipe_candidate WHERE recipe_url IS NOT NULL",
     "recipe_pages": """WITH c AS (SELECT candidate_id, trim(coalesce(title, '')) AS t, trim(coalesce(image_url, '')) AS u, coalesce(text, '') AS x FROM recipe_candidate)
 SELECT candidate_id, CASE WHEN t <> '' AND u <> '' THEN t END AS title, CASE WHEN t <> '' AND u <> '' THEN u END AS image_url, CASE WHEN t <> '' AND u <> '' THEN t || ' ' || x || ' ' END AS text FROM c""",
@@ -192,8 +198,8 @@ SELECT candidate_id, CASE WHEN t <> '' AND u <> '' THEN t END AS title, CASE WHE
     "softmax_topk": f"WITH {_S} SELECT vec_id, k, class_index, round(p, 6) AS p FROM s WHERE k < 5",
     "review_decision": f"WITH {_S} SELECT vec_id, CASE WHEN label = 9 THEN 'outside_target_classes' WHEN c1 <> label AND p1 >= 0.45 THEN 'high_confidence_disagreement' WHEN p1 < 0.45 THEN 'low_confidence' WHEN p1 - p2 < 0.15 THEN 'small_margin' ELSE 'ok' END AS decision FROM w",
     "model_gate": f"WITH {_S} SELECT vec_id, in3 OR pt >= 0.05 AS accepted, CASE WHEN in3 THEN 'allowed_top3' WHEN pt >= 0.05 THEN 'target_confidence' ELSE 'model_reject' END AS reason FROM w",
-    "confusion_matrix": f"WITH {_S}, c AS (SELECT CAST(unnest(range(10)) AS INTEGER) AS label), n AS (SELECT label AS truth, c1 AS predicted, count(*) AS n FROM w GROUP BY 1, 2) SELECT a.label AS truth, b.label AS predicted, coalesce(n, 0) AS n FROM c a CROSS JOIN c b LEFT JOIN n ON n.truth = a.label AND n.predicted = b.label",
-    "classification_report": f"""WITH {_S}, c AS (SELECT CAST(unnest(range(10)) AS INTEGER) AS label),
+    "confusion_matrix": f"WITH {_S}, c AS (SELECT CAST(unnest(range(64)) AS INTEGER) AS label), n AS (SELECT label AS truth, c1 AS predicted, count(*) AS n FROM w GROUP BY 1, 2) SELECT a.label AS truth, b.label AS predicted, coalesce(n, 0) AS n FROM c a CROSS JOIN c b LEFT JOIN n ON n.truth = a.label AND n.predicted = b.label",
+    "classification_report": f"""WITH {_S}, c AS (SELECT CAST(unnest(range(64)) AS INTEGER) AS label),
 n AS (SELECT c.label, (SELECT count(*) FROM w WHERE w.label = c.label) AS support, (SELECT count(*) FROM w WHERE c1 = c.label) AS said, (SELECT count(*) FROM w WHERE c1 = c.label AND w.label = c.label) AS hit FROM c),
 p AS (SELECT label, coalesce(hit / nullif(said, 0), 0) AS p, coalesce(hit / nullif(support, 0), 0) AS r, support, hit FROM n), f AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM p)
 SELECT label::VARCHAR AS label, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, support FROM f
@@ -212,7 +218,9 @@ b AS (SELECT *, acc > bf AS improved, k - coalesce(max(CASE WHEN acc > bf THEN k
 c AS (SELECT *, min(CASE WHEN waited >= 12 THEN k END) OVER (PARTITION BY l_returnflag) AS stop FROM b)
 SELECT l_returnflag, month, acc, best, improved, CAST(waited AS INTEGER) AS waited, coalesce(k = stop, false) AS stopped FROM c WHERE stop IS NULL OR k <= stop""",
     "epoch_means": "SELECT l_returnflag, sum(l_linenumber::DOUBLE * 8) / (count(*) * 8) AS loss, sum(CAST(round(l_quantity) AS BIGINT) % 8)::DOUBLE / (count(*) * 8) AS accuracy FROM lineitem GROUP BY 1",
-    "focal_loss": f"WITH {_S} SELECT label, count(*) AS n, round(sum(pow(1 - p, 2) * 1.5 * -ln(p)), 4) AS loss FROM s WHERE k < 5 AND class_index = label GROUP BY 1",
+    "focal_loss": f"""WITH {_S}, v AS (SELECT vec_id, label, -ln(p) AS nl, 1 + class_index % 4 / 2 AS w, CASE WHEN class_index = label THEN 1.0::DOUBLE ELSE 0 END AS one FROM y),
+f AS (SELECT vec_id, label, sum(nl * one) AS ce, sum(nl * one * w) AS wce, sum(nl * (0.9::DOUBLE * one + 0.1::DOUBLE / 64)) AS ces, sum(nl * w * (0.9::DOUBLE * one + 0.1::DOUBLE / 64)) AS wces FROM v GROUP BY 1, 2)
+SELECT label, count(*) AS n, round(avg(pow(1 - exp(-ce), 2) * wce), 6) AS loss, round(avg(pow(1 - exp(-ces), 2) * wces), 6) AS smoothed_loss FROM f GROUP BY 1""",
     "done_log_replay": f"WITH {_LOG} SELECT item, action FROM dn",
     "undo_target": f"WITH {_LOG} SELECT g.ts, g.event_id, g.action, g.item FROM g LEFT JOIN dn ON dn.item = g.item WHERE g.action <> 'undo' AND (g.action <> 'mark_done' OR dn.item IS NOT NULL) ORDER BY ts DESC, event_id DESC LIMIT 1",
     "browse_page": "SELECT item_id, coalesce(path, '') AS path FROM image_item WHERE accepted_at IS NOT NULL ORDER BY path, item_id LIMIT 80 OFFSET 160",

@@ -1,4 +1,4 @@
-"""Sinks: reports of fixed columns, append-only logs, a keyed cache, a summary document, a checked package."""
+"""Sinks: reports of fixed columns, append-only logs, a keyed cache, a summary document, class names."""
 
 from __future__ import annotations
 
@@ -28,3 +28,8 @@ def summary_document(counts: DataFrame, dimension: str, value: str, n: str) -> D
     by = counts.groupBy(dimension).agg(F.array_sort(F.collect_list(pair)).alias("m"))
     entries = F.array_sort(F.collect_list(F.struct(dimension, "m")))
     return by.agg(F.to_json(F.map_from_entries(F.transform(entries, lambda e: F.struct(e[dimension], F.map_from_entries(e["m"]))))).alias("json"))
+
+
+def class_names_document(names: DataFrame, index: str, name: str) -> DataFrame:
+    """(json): the array of class names in order of their index; a list of classes, one short row each."""
+    return names.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(index, name))), lambda r: r[name])).alias("json"))
