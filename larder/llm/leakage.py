@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from larder.llm.words import WordIds, encode, gram_keys, slices, words
 from larder.session import ship_package
 
-RUN = 13
+RUN, BUDGET = 13, 2
+_CHUNK = 200_000
 
 
 def bit_parallel_distance(pattern: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -44,74 +45,87 @@ def bit_parallel_distance(pattern: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 class PassageIndex:
-    """The passages (all runs of ``run`` words) of a block of test items, and their pieces.
+    """The passages (all runs of ``run`` words) of test items, and their pieces.
 
     Each passage is cut into budget+1 pieces; with at most ``budget`` words changed,
-    left out or put in, one piece is unchanged.
+    left out or put in, one piece is unchanged.  Words are kept once, passages as the
+    places where they begin: about 50 bytes a word.
     """
 
     def __init__(self, items: list[tuple[int, str]], run: int, budget: int):
+        if not 0 <= budget < run <= 62:
+            raise ValueError("a passage has 1 to 62 words, and fewer edits than words")
         self.run, self.budget = run, budget
         self.vocabulary: dict[str, int] = {}
-        ids, self.eval_ids = [], []
+        all_words, starts, owners = [], [], []
         for ident, text in items:
             own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for s in range(len(own) - run + 1):
-                ids.append(own[s : s + run])
-                self.eval_ids.append(ident)
-        self.passages = np.asarray(ids, dtype=np.int64).reshape(-1, run)
-        self.eval_ids = np.asarray(self.eval_ids, dtype=np.int64)
+            first = range(len(all_words), len(all_words) + len(own) - run + 1)
+            starts += first
+            owners += [ident] * len(first)
+            all_words += own
+        self.words, self.starts, self.eval_ids = np.asarray(all_words, dtype=np.int32), np.asarray(starts, dtype=np.int64), np.asarray(owners, dtype=np.int64)
         cuts = [run * k // (budget + 1) for k in range(budget + 2)]
         self.pieces = []
         for a, b in zip(cuts, cuts[1:]):
-            keys = self._keys(self.passages[:, a:b])
+            keys = gram_keys(self.words.astype(np.int64), b - a)[self.starts + a]
             order = np.argsort(keys, kind="stable")
             self.pieces.append((a, b - a, keys[order], order))
 
-    @staticmethod
-    def _keys(rows: np.ndarray) -> np.ndarray:
-        key = np.zeros(len(rows), dtype=np.uint64)
-        for k in range(rows.shape[1]):
-            key = key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k].astype(np.uint64)
-        return key
+    def passages(self, number: np.ndarray) -> np.ndarray:
+        return self.words[self.starts[number][:, None] + np.arange(self.run)]
 
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place where the passage would begin, passage) for each exact piece found in the words."""
-        begin, passage = [], []
+    def hits(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place where the passage would begin, passage) for each exact piece found in the words, a bounded number at a time."""
         for offset, size, keys, order in self.pieces:
             at = gram_keys(ids, size)
             place = np.flatnonzero(at)
             low = np.searchsorted(keys, at[place], "left")
             n = np.searchsorted(keys, at[place], "right") - low
             place, low, n = place[n > 0], low[n > 0], n[n > 0]
-            each = np.repeat(np.arange(len(place)), n)
-            rank = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-            begin.append(place[each] - offset)
-            passage.append(order[low[each] + rank])
-        return np.concatenate(begin), np.concatenate(passage)
+            upto = np.cumsum(n)
+            for first in range(0, int(upto[-1]) if len(upto) else 0, _CHUNK):
+                # the hits first .. first + _CHUNK in the order of places
+                hit = np.arange(first, min(first + _CHUNK, int(upto[-1])))
+                each = np.searchsorted(upto, hit, "right")
+                yield place[each] - offset, order[low[each] + hit - (upto[each] - n[each])]
+
+    def close(self, ids: np.ndarray, begin: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, passage, distance) of the pairs within the budget.
+
+        First the words of the passage that lie at their place in the text, give or take
+        the budget, are counted: where too many lie nowhere, the edits are too many.
+        """
+        reach = np.arange(-self.budget, self.run + self.budget)
+        window = begin[:, None] + reach
+        text = np.where((window >= 0) & (window < len(ids)), ids[np.clip(window, 0, len(ids) - 1)], -1)
+        pattern = self.passages(passage)
+        found = np.zeros(pattern.shape, dtype=bool)
+        for shift in range(2 * self.budget + 1):
+            found |= text[:, shift : shift + self.run] == pattern
+        ok = found.sum(axis=1) >= self.run - self.budget
+        begin, passage, text, pattern = begin[ok], passage[ok], text[ok], pattern[ok]
+        distance = np.zeros(len(begin), dtype=np.int64)
+        edited = (text[:, self.budget : self.budget + self.run] != pattern).any(axis=1)
+        distance[edited] = bit_parallel_distance(pattern[edited], text[edited])
+        ok = distance <= self.budget
+        return begin[ok], passage[ok], distance[ok]
 
     def search(self, ids: np.ndarray, doc: np.ndarray) -> pd.DataFrame:
         """(doc, eval_id, distance, passages): the least distance of any passage of the item, and how many passages match."""
-        begin, passage = self.hits(ids)
-        pairs = np.unique(np.stack([begin, passage], axis=1), axis=0) if len(begin) else np.zeros((0, 2), dtype=np.int64)
         got = []
-        reach = np.arange(-self.budget, self.run + self.budget)
-        for k in range(0, len(pairs), 200_000):
-            part = pairs[k : k + 200_000]
-            window = part[:, :1] + reach
-            text = np.where((window >= 0) & (window < len(ids)), ids[np.clip(window, 0, len(ids) - 1)], -1)
-            distance = bit_parallel_distance(self.passages[part[:, 1]], text)
-            ok = distance <= self.budget
+        for begin, passage in self.hits(ids):
+            begin, passage, distance = self.close(ids, begin, passage)
             # a passage may begin a little before its text; the middle lies inside
-            where = np.clip(part[ok, 0] + self.run // 2, 0, len(ids) - 1)
-            got.append(pd.DataFrame({"doc": doc[where], "eval_id": self.eval_ids[part[ok, 1]], "passage": part[ok, 1], "distance": distance[ok]}))
+            where = np.clip(begin + self.run // 2, 0, len(ids) - 1)
+            got.append(pd.DataFrame({"doc": doc[where], "eval_id": self.eval_ids[passage], "passage": passage, "distance": distance}))
         if not got:
             return pd.DataFrame({"doc": [], "eval_id": [], "distance": [], "passages": []})
         return pd.concat(got).groupby(["doc", "eval_id"], as_index=False).agg(distance=("distance", "min"), passages=("passage", "nunique"))
 
 
 def leaked_passages(
-    documents: DataFrame, evals: DataFrame, *, run: int = RUN, budget: int = 1, block_chars: int = 2_000_000
+    documents: DataFrame, evals: DataFrame, *, run: int = RUN, budget: int = BUDGET, block_chars: int = 8_000_000
 ) -> DataFrame:
     """(doc_id, eval_id, distance, passages): documents that hold a passage of a test item.
 
@@ -120,10 +134,10 @@ def leaked_passages(
     for word), passages how many passages of the item are held.  Items with fewer than
     ``run`` words, null or empty texts, and rows without a doc_id, hold and are held by nothing.
 
-    The test items form the query set: they are taken in blocks of at most
-    ``block_chars`` characters, whose index goes to the tasks; documents are read once
-    a block, in Arrow batches, and never shuffled.  A document with several rows of the
-    same doc_id gives a row for each.
+    The test items form the query set: an index of all of them goes to the tasks, in
+    blocks of at most ``block_chars`` characters (about 90 MB of index); documents are
+    read once, or once for each such block, in Arrow batches, and never shuffled.  A
+    document with several rows of the same doc_id gives a row for each.
     """
     spark = documents.sparkSession
     ship_package(spark)
@@ -131,7 +145,7 @@ def leaked_passages(
     blocks = max(1, -(-total // block_chars))
     found = None
     for b in range(blocks):
-        part = evals.where(F.pmod(F.xxhash64("eval_id"), F.lit(blocks)) == b).select("eval_id", "text").where("text is not null")
+        part = evals.where(F.pmod(F.xxhash64("eval_id"), F.lit(blocks)) == b).select("eval_id", "text").where("text is not null and eval_id is not null")
         items = [(r["eval_id"], r["text"]) for r in part.collect()]  # one block, at most about block_chars
         index = spark.sparkContext.broadcast(PassageIndex(items, run, budget))
 

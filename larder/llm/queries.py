@@ -106,17 +106,21 @@ def p6_locality(spark: SparkSession, d: str) -> DataFrame:
     return packing.locality_report(packing.packed(sizes), sizes)
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.word_for_word(leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_item")))
+    """The leaks within the edit budget, and of these the ones that are word for word."""
+    return leakage.word_for_word(_leaks(spark, d))
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_item"), budget=2)
+    return _leaks(spark, d)
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    documents, evals = table(spark, d, "documents"), table(spark, d, "eval_item")
-    return leakage.leak_report(leakage.leaked_passages(documents, evals, budget=2), documents, evals)
+    return leakage.leak_report(_leaks(spark, d), table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
 def _subjects(spark: SparkSession, d: str) -> subjects.SubjectModel:

@@ -429,6 +429,32 @@ def test_leaks(spark, budget):
     assert got == want and len(want) > 5
 
 
+def test_recall_by_number_of_edits(spark):
+    """Passages of 24 words planted with 0 to 8 edits anywhere; whoever keeps 13 words within two edits must be found."""
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(400)]
+    evals = [(i, " ".join(rng.choice(vocab) for _ in range(40))) for i in range(60)]
+    docs, edits, owed = [], {}, set()
+    for i in range(540):
+        j, n = rng.randrange(60), i % 9
+        own = evals[j][1].split()
+        at = rng.randrange(16)
+        cut = own[at : at + 24]
+        for _ in range(n):
+            k = rng.randrange(len(cut))
+            cut[k : k + 1] = rng.choice([[], ["new"], [cut[k], "new"]])
+        if min(word_distance(own[s : s + 13], cut) for s in range(len(own) - 12)) <= 2:
+            owed.add((i, j))
+        docs.append((i, " ".join([rng.choice(vocab) for _ in range(30)] + cut + [rng.choice(vocab) for _ in range(30)])))
+        edits[i] = (n, j)
+    got = {(r["doc_id"], r["eval_id"]) for r in leakage.leaked_passages(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(evals, "eval_id bigint, text string"), budget=2).collect()}
+    assert owed <= got
+    recall = {n: sum((i, j) in got for i, (m, j) in edits.items() if m == n) / 60 for n in range(9)}
+    assert all(recall[n] >= 0.9 for n in range(5)), recall  # up to four edits in 24 words
+    with pytest.raises(ValueError):
+        leakage.PassageIndex([], 63, 2)
+
+
 def test_words():
     assert words("Đậu hũ, CÁ-rô_chiên!") == ["dau", "hu", "ca", "ro", "chien"]
     assert words("số co­s​o") == ["so", "coso"]
