@@ -67,3 +67,36 @@ def hmac_sha256(message: Column, key: bytes) -> Column:
     inner, outer = bytes(b ^ 0x36 for b in k), bytes(b ^ 0x5C for b in k)
     first = F.sha2(F.concat(F.lit(inner), F.encode(message, "utf-8")), 256)
     return F.sha2(F.concat(F.lit(outer), F.unhex(first)), 256)
+
+
+def undo_target_of_files(log: DataFrame, item: str, action: str, source: str, output: str, done: DataFrame, files: DataFrame, seq: list[str]) -> DataFrame:
+    """As ``undo_target``, but a move can be undone only while its file lies at the output and none at the source.
+
+    files: path.  Paths that are null lie nowhere.
+    """
+    there = files.select(F.col("path").alias("_path")).where("_path is not null").distinct()
+    rows = log.where(F.col(action) != "undo").join(done.select(item).distinct().withColumn("_done", F.lit(True)), item, "left")
+    rows = rows.join(there.withColumn("_at_output", F.lit(True)), F.col(output) == F.col("_path"), "left").drop("_path")
+    rows = rows.join(there.withColumn("_at_source", F.lit(True)), F.col(source) == F.col("_path"), "left")
+    open_ = F.when(F.col(action) == "mark_done", F.col("_done")).otherwise(F.col("_at_output") & F.col("_at_source").isNull())
+    top = rows.where(open_).agg(F.max(F.struct(*seq, F.col(action).alias("_a"), F.col(item).alias("_i"))).alias("m")).where("m is not null")
+    return top.select(*[F.col(f"m.{s}").alias(s) for s in seq], F.col("m._a").alias(action), F.col("m._i").alias(item))
+
+
+def plan_moves(requests: DataFrame, files: DataFrame, item: str, source: str, target: str) -> DataFrame:
+    """(item, source, target, status): what each move of a batch would do; one that fails does not stop the others.
+
+    missing: no file at the source; exists: the target is taken; repeated: an item asked
+    for more than once, beyond its least target; taken: a target that an earlier item
+    (least) of the batch goes to; else moved.
+    """
+    there = files.select(F.col("path").alias("_path")).where("_path is not null").distinct()
+    r = requests.select(item, source, target)
+    r = r.join(there.withColumn("_s", F.lit(True)), F.col(source) == F.col("_path"), "left").drop("_path")
+    r = r.join(there.withColumn("_t", F.lit(True)), F.col(target) == F.col("_path"), "left").drop("_path")
+    able = r.where("_s and _t is null")
+    first = able.groupBy(F.col(item).alias("_item")).agg(F.min(target).alias("_first"))
+    lead = able.join(first, (F.col(item) == F.col("_item")) & (F.col(target) == F.col("_first"))).groupBy(F.col(target).alias("_target")).agg(F.min(item).alias("_lead"))
+    r = r.join(first, F.col(item) == F.col("_item"), "left").join(lead, F.col(target) == F.col("_target"), "left")
+    status = F.when(F.col("_s").isNull(), "missing").when(F.col("_t"), "exists").when(F.col(target) != F.col("_first"), "repeated").when(F.col(item) != F.col("_lead"), "taken").otherwise("moved")
+    return r.select(item, source, target, status.alias("status"))

@@ -106,3 +106,32 @@ def select_new(candidates: DataFrame, base: DataFrame, ident: str, order: Column
     picked = greedy_dedup(rest, ident, order, key="sha", max_distance=max_distance)
     return known.select(ident, F.lit("base").alias("status"), F.col("base_id").alias("other")).unionByName(
         picked.select(ident, F.when(F.col("kept"), "selected").otherwise("duplicate").alias("status"), F.col("rep").alias("other")))
+
+
+def is_inside(path: Column, root: str) -> Column:
+    """Whether a normalised path is the root or lies below it; .. and null never do."""
+    bare = root.rstrip("/")
+    return F.coalesce(~path.rlike(r"(^|/)\.\.(/|$)") & ((path == bare) | path.startswith(bare + "/")), F.lit(False))
+
+
+def picture_folders(paths: DataFrame, path: str) -> DataFrame:
+    """(folder, depth, pictures): folders that hold a file, the top one as '.'; sort by depth and folder for display."""
+    folder = F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
+    d = paths.where(F.col(path).isNotNull()).select(F.when(folder == "", ".").otherwise(folder).alias("folder")).groupBy("folder").agg(F.count("*").alias("pictures"))
+    return d.select("folder", (F.size(F.split("folder", "/")) - 1).alias("depth"), "pictures")
+
+
+def labelled_pictures(pictures: DataFrame, labels: DataFrame, path: str, *, allowed: list[str], excluded: list[str] = ()) -> DataFrame:
+    """All columns and (dataset, label_path): pictures below an ``images`` folder of an allowed data set, with their label file.
+
+    The label lies at the same place under ``labels``, else under ``labelTxt``; null where
+    there is neither.  labels: path.  The data set is the first folder.
+    """
+    parts = r"(?s)^(.*?/)images(/.*)\.[^./]*$"
+    key = lambda c, kind: F.concat(F.regexp_extract(c, rf"(?s)^(.*?/){kind}(/.*)\.[^./]*$", 1), F.lit("|"), F.regexp_extract(c, rf"(?s)^(.*?/){kind}(/.*)\.[^./]*$", 2))
+    dataset = F.split_part(F.col(path), F.lit("/"), F.lit(1))
+    p = pictures.withColumn("dataset", dataset).where(dataset.isin(*allowed) & ~dataset.isin(*excluded) & F.col(path).rlike(parts))
+    rows = labels.select(F.col("path").alias("_l")).where(F.lower("_l").endswith(".txt"))
+    both = rows.select("_l", F.explode(F.array(F.struct(F.lit(0).alias("r"), key("_l", "labels").alias("k")), F.struct(F.lit(1).alias("r"), key("_l", "labelTxt").alias("k")))).alias("x")).where("x.k != '|'")
+    best = both.groupBy(F.col("x.k").alias("_key")).agg(F.min(F.struct("x.r", "_l")).alias("_b"))
+    return p.join(best, key(path, "images") == F.col("_key"), "left").select(*p.columns, F.col("_b._l").alias("label_path"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larder.functions import values as V
 from larder.operators import dataset as B
 from larder.operators import pictures as P
+from larder.operators import review as L
 from larder.operators import selection as S
 from larder.operators import text as X
 from larder.plans import dedup
@@ -104,11 +105,54 @@ def file_names(spark, d):
 def representative_losers(spark, d):
     """Records that another of their capture stands for."""
     r = _records(spark, d)
-    best = B.representatives(r).select(F.col("dataset").alias("_d"), F.col("capture").alias("_c"), F.col("record_id").alias("kept"))
-    return r.join(best, F.col("dataset").eqNullSafe(F.col("_d")) & F.col("capture").eqNullSafe(F.col("_c"))).where("record_id != kept").select("record_id", "kept")
+    best = B.representatives(r).select(F.col("dataset").alias("_d"), F.col("capture").alias("_c"), F.col("record_id").alias("_kept"))
+    return r.join(best, F.col("dataset").eqNullSafe(F.col("_d")) & F.col("capture").eqNullSafe(F.col("_c"))).where("record_id != _kept").select("record_id", F.col("_kept").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (picture_metrics, label_completeness, reason_prefixes, global_quota, select_new, detection_evidence, source_names, report_files, requested_operations, common_sources, manifest_totals, sampler_weights, file_names, representative_losers)}
+def _moves(spark, d):
+    """The event log as moves and marks; files: where each user's picture lies."""
+    u = F.col("user_id").cast("string")
+    e = table(spark, d, "events")
+    action = F.when(F.col("event_type") == "click", "mark_done").when(F.col("event_type") == "signup", "undo").otherwise("move")
+    log = e.select("event_id", "ts", "user_id", u.alias("item"), action.alias("action"), F.concat(F.lit("in/"), u).alias("source"), F.concat(F.lit("out/"), u).alias("output"))
+    place = F.when(F.col("user_id") % 3 == 0, F.array(F.concat(F.lit("out/"), u))).when(F.col("user_id") % 3 == 1, F.array(F.concat(F.lit("in/"), u))).otherwise(F.array(F.concat(F.lit("in/"), u), F.concat(F.lit("out/"), u)))
+    return log, e.select(F.explode(place).alias("path")).distinct()
+
+
+def undo_move(spark, d):
+    log, files = _moves(spark, d)
+    done = log.where("action = 'mark_done' and user_id % 2 = 0").select("item")
+    return L.undo_target_of_files(log, "item", "action", "source", "output", done, files, ["ts", "event_id"])
+
+
+def batch_moves(spark, d):
+    log, files = _moves(spark, d)
+    target = F.concat(F.lit("out/"), (F.col("user_id") - F.col("user_id") % 4 + F.col("event_id") % 2).cast("string"))
+    return L.plan_moves(log.where("action = 'move'").select(F.col("user_id").alias("item"), "source", target.alias("target")).distinct(), files, "item", "source", "target")
+
+
+def picture_folders(spark, d):
+    return S.picture_folders(images(spark, d), "path")
+
+
+def _files(spark, d):
+    """Pictures of six data sets, two thirds of them with a label file of either kind, some with both."""
+    name = F.regexp_replace(F.regexp_replace("path", r"^.*/", ""), r"\.[^.]*$", "")
+    i = images(spark, d).where("path is not null").select("item_id", F.concat(F.lit("set"), (F.col("item_id") % 6).cast("string"), F.lit("/")).alias("s"), F.concat(F.lit("/train/"), F.col("item_id").cast("string"), F.lit("_"), name).alias("n"))
+    labels = i.select("item_id", F.explode(F.array(F.when(F.col("item_id") % 3 < 2, F.concat("s", F.lit("labelTxt"), "n", F.lit(".txt"))), F.when(F.col("item_id") % 4 == 0, F.concat("s", F.lit("labels"), "n", F.lit(".txt"))))).alias("path")).where("path is not null")
+    return i.select("item_id", F.concat("s", F.lit("images"), "n", F.lit(".jpg")).alias("path")), labels.select("path")
+
+
+def labelled_pictures(spark, d):
+    pictures, labels = _files(spark, d)
+    return S.labelled_pictures(pictures, labels, "path", allowed=["set0", "set1", "set2", "set3"], excluded=["set3"])
+
+
+def inside_project(spark, d):
+    return images(spark, d).where("path is not null").groupBy(S.is_inside(F.concat(F.lit("data/"), F.col("label"), F.lit("/"), F.col("path")), "data/rice").alias("inside"), "label").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (picture_metrics, label_completeness, reason_prefixes, global_quota, select_new, detection_evidence, source_names, report_files, requested_operations, common_sources, manifest_totals, sampler_weights, file_names, representative_losers, undo_move, batch_moves, picture_folders, labelled_pictures, inside_project)}
 
 _I, _L = f"i AS (SELECT item_id, {Q.sha('sha256')} AS sha, {Q.name('class_name')} AS label, {Q.name('source_name')} AS source, path, train_weight FROM image_item)", f"l AS (SELECT DISTINCT {Q.name('class_name')} AS label FROM price_row)"
 _G = """g AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(greatest(0, least(255, floor((x::DOUBLE + 0.5::DOUBLE) * 255))) AS INTEGER)) AS g FROM embeddings),
@@ -121,6 +165,9 @@ m AS (SELECT candidate_id, min(CASE WHEN c.sha = b.sha THEN item_id END) AS e, m
 k AS (SELECT candidate_id, coalesce(e, n) AS other FROM m)"""
 _GREEDY = dedup._greedy("item_id", "NULL", "sha", 4)
 
+_MOVES = """g AS (SELECT event_id, ts, user_id, CAST(user_id AS VARCHAR) AS item, CASE event_type WHEN 'click' THEN 'mark_done' WHEN 'signup' THEN 'undo' ELSE 'move' END AS action, 'in/' || user_id AS source, 'out/' || user_id AS output FROM events),
+f AS (SELECT 'out/' || user_id AS path FROM events WHERE user_id % 3 <> 1 UNION SELECT 'in/' || user_id FROM events WHERE user_id % 3 <> 0)"""
+
 ORACLE = {
     "picture_metrics": f"""WITH {_G} SELECT vec_id, round(avg(v), 6) AS brightness, avg((lap - m) * (lap - m)) AS blur_score,
   round(avg(CASE WHEN r = 0 OR r = 7 OR c = 0 OR c = 7 THEN CASE WHEN v <= 110 THEN 1.0::DOUBLE ELSE 0 END END), 6) AS black_border,
@@ -143,6 +190,15 @@ SELECT c_custkey, f[1] OR f[2] OR f[3] OR f[4] AS do_push_packages, f[1] OR f[2]
 SELECT split, label, CAST(grouping(split, label) AS INTEGER) AS over, count(*) AS files, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes FROM a GROUP BY CUBE (split, label)""",
     "sampler_weights": f"WITH {_I}, {_L} SELECT label, 1.0::DOUBLE / greatest(count(i.item_id), 1) * CASE label WHEN 'rice' THEN 2.0::DOUBLE WHEN 'com_trang' THEN 2.5 ELSE 1.0 END AS sample_weight FROM l LEFT JOIN i USING (label) GROUP BY label",
     "file_names": f"WITH {_I}, r AS (SELECT item_id, source, sha, CAST(unnest(range(greatest(coalesce(train_weight, 1), 1))) AS INTEGER) AS repeat_index FROM i WHERE sha IS NOT NULL) SELECT item_id, repeat_index, coalesce(source, '') || '_' || sha[1:10] || printf('_r%02d.jpg', repeat_index) AS name FROM r",
+    "undo_move": f"""WITH {_MOVES} SELECT ts, event_id, action, item FROM g WHERE action <> 'undo' AND (CASE WHEN action = 'mark_done' THEN item IN (SELECT item FROM g WHERE action = 'mark_done' AND user_id % 2 = 0) ELSE output IN (SELECT path FROM f) AND source NOT IN (SELECT path FROM f) END) ORDER BY ts DESC, event_id DESC LIMIT 1""",
+    "batch_moves": f"""WITH {_MOVES}, r AS (SELECT DISTINCT user_id AS item, source, 'out/' || (user_id - user_id % 4 + event_id % 2) AS target FROM g WHERE action = 'move'),
+s AS (SELECT *, source IN (SELECT path FROM f) AS s, target IN (SELECT path FROM f) AS t FROM r), a AS (SELECT *, min(target) OVER (PARTITION BY item) AS first FROM s WHERE s AND NOT t),
+b AS (SELECT *, min(CASE WHEN target = first THEN item END) OVER (PARTITION BY target) AS lead FROM a)
+SELECT item, source, target, CASE WHEN NOT s THEN 'missing' ELSE 'exists' END AS status FROM s WHERE NOT s OR t UNION ALL SELECT item, source, target, CASE WHEN target <> first THEN 'repeated' WHEN item <> lead THEN 'taken' ELSE 'moved' END FROM b""",
+    "picture_folders": """WITH p AS (SELECT coalesce(nullif(regexp_extract(path, '(?s)^(.*)/[^/]*$', 1), ''), '.') AS folder FROM image_item WHERE path IS NOT NULL) SELECT folder, CAST(length(folder) - length(replace(folder, '/', '')) AS INTEGER) AS depth, count(*) AS pictures FROM p GROUP BY 1""",
+    "labelled_pictures": """WITH i AS (SELECT item_id, 'set' || item_id % 6 AS dataset, '/train/' || item_id || '_' || regexp_replace(regexp_replace(path, '^.*/', ''), '\.[^.]*$', '') AS n FROM image_item WHERE path IS NOT NULL)
+SELECT item_id, dataset || '/images' || n || '.jpg' AS path, dataset, CASE WHEN item_id % 4 = 0 THEN dataset || '/labels' || n || '.txt' WHEN item_id % 3 < 2 THEN dataset || '/labelTxt' || n || '.txt' END AS label_path FROM i WHERE dataset IN ('set0', 'set1', 'set2')""",
+    "inside_project": f"WITH {_I} SELECT coalesce(NOT regexp_matches(path, '(^|/)\\.\\.(/|$)') AND label = 'rice', false) AS inside, label, count(*) AS n FROM i WHERE path IS NOT NULL GROUP BY 1, 2",
     "representative_losers": f"""WITH r AS (SELECT *, {Q.CAPTURE} AS capture FROM source_record),
 k AS (SELECT record_id, first_value(record_id) OVER (PARTITION BY dataset, capture ORDER BY coalesce(black_border_ratio, 'infinity'::DOUBLE), coalesce(blur_score, '-infinity'::DOUBLE) DESC, coalesce(image_path, ''), record_id) AS kept FROM r) SELECT record_id, kept FROM k WHERE record_id <> kept""",
 }

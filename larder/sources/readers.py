@@ -129,3 +129,14 @@ def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """(query) of a text file, one a line; blank lines and comments (#) skipped."""
     return spark.read.text(path).select(F.trim("value").alias("query")).where("query != '' and not startswith(query, '#')")
+
+
+def read_dataset(spark: SparkSession, path: str, layout: str, *, sizes: DataFrame | None = None, min_area: float = 0.005) -> DataFrame:
+    """(name, boxes, raw_count) of a data set in one of three layouts: labels (split folders), coco (one document), lines (with the sizes of the pictures)."""
+    if layout == "labels":
+        return read_label_pictures(spark, path, min_area=min_area).select("name", "boxes", "raw_count")
+    if layout == "coco":
+        return read_coco(spark, path, min_area=min_area)
+    if layout == "lines" and sizes is not None:
+        return read_box_lines(spark, path, sizes, min_area=min_area)
+    raise ValueError("layout is labels, coco, or lines with sizes")
