@@ -13,7 +13,7 @@ from larder.llm.words import WordIds, encode, gram_keys, slices, words
 from larder.session import ship_package
 
 RUN, BUDGET = 13, 2
-_CHUNK = 200_000
+_CHUNK = 50_000
 
 
 def bit_parallel_distance(pattern: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -77,9 +77,10 @@ class PassageIndex:
 
     def hits(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(place where the passage would begin, passage) for each exact piece found in the words, a bounded number at a time."""
+        grams = {size: gram_keys(ids, size) for size in {p[1] for p in self.pieces}}
+        inside = {size: np.flatnonzero(at) for size, at in grams.items()}
         for offset, size, keys, order in self.pieces:
-            at = gram_keys(ids, size)
-            place = np.flatnonzero(at)
+            at, place = grams[size], inside[size]
             low = np.searchsorted(keys, at[place], "left")
             n = np.searchsorted(keys, at[place], "right") - low
             place, low, n = place[n > 0], low[n > 0], n[n > 0]
@@ -90,21 +91,24 @@ class PassageIndex:
                 each = np.searchsorted(upto, hit, "right")
                 yield place[each] - offset, order[low[each] + hit - (upto[each] - n[each])]
 
-    def close(self, ids: np.ndarray, begin: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(begin, passage, distance) of the pairs within the budget.
+    def close(self, padded: np.ndarray, begin: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, passage, distance) of the pairs within the budget; padded: the words with run + budget of none at either end.
 
         First the words of the passage that lie at their place in the text, give or take
         the budget, are counted: where too many lie nowhere, the edits are too many.
         """
-        reach = np.arange(-self.budget, self.run + self.budget)
-        window = begin[:, None] + reach
-        text = np.where((window >= 0) & (window < len(ids)), ids[np.clip(window, 0, len(ids) - 1)], -1)
-        pattern = self.passages(passage)
-        found = np.zeros(pattern.shape, dtype=bool)
-        for shift in range(2 * self.budget + 1):
-            found |= text[:, shift : shift + self.run] == pattern
-        ok = found.sum(axis=1) >= self.run - self.budget
-        begin, passage, text, pattern = begin[ok], passage[ok], text[ok], pattern[ok]
+        at, own = begin + self.run, self.starts[passage]  # the first place of the window in the padded words
+        columns = [padded[at + k] for k in range(self.run + 2 * self.budget)]
+        placed = np.zeros(len(begin), dtype=np.int8)
+        for k in range(self.run):
+            word = self.words[own + k]
+            hit = columns[k] == word
+            for shift in range(1, 2 * self.budget + 1):
+                hit |= columns[k + shift] == word
+            placed += hit
+        ok = np.flatnonzero(placed >= self.run - self.budget)
+        begin, passage = begin[ok], passage[ok]
+        text, pattern = np.stack([c[ok] for c in columns], axis=1), self.passages(passage)
         distance = np.zeros(len(begin), dtype=np.int64)
         edited = (text[:, self.budget : self.budget + self.run] != pattern).any(axis=1)
         distance[edited] = bit_parallel_distance(pattern[edited], text[edited])
@@ -113,9 +117,10 @@ class PassageIndex:
 
     def search(self, ids: np.ndarray, doc: np.ndarray) -> pd.DataFrame:
         """(doc, eval_id, distance, passages): the least distance of any passage of the item, and how many passages match."""
-        got = []
+        got, none = [], np.full(self.run + self.budget, -1, dtype=np.int32)
+        padded = np.concatenate([none, ids.astype(np.int32), none])
         for begin, passage in self.hits(ids):
-            begin, passage, distance = self.close(ids, begin, passage)
+            begin, passage, distance = self.close(padded, begin, passage)
             # a passage may begin a little before its text; the middle lies inside
             where = np.clip(begin + self.run // 2, 0, len(ids) - 1)
             got.append(pd.DataFrame({"doc": doc[where], "eval_id": self.eval_ids[passage], "passage": passage, "distance": distance}))
