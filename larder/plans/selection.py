@@ -196,7 +196,7 @@ s AS (SELECT *, source IN (SELECT path FROM f) AS s, target IN (SELECT path FROM
 b AS (SELECT *, min(CASE WHEN target = first THEN item END) OVER (PARTITION BY target) AS lead FROM a)
 SELECT item, source, target, CASE WHEN NOT s THEN 'missing' ELSE 'exists' END AS status FROM s WHERE NOT s OR t UNION ALL SELECT item, source, target, CASE WHEN target <> first THEN 'repeated' WHEN item <> lead THEN 'taken' ELSE 'moved' END FROM b""",
     "picture_folders": """WITH p AS (SELECT coalesce(nullif(regexp_extract(path, '(?s)^(.*)/[^/]*$', 1), ''), '.') AS folder FROM image_item WHERE path IS NOT NULL) SELECT folder, CAST(length(folder) - length(replace(folder, '/', '')) AS INTEGER) AS depth, count(*) AS pictures FROM p GROUP BY 1""",
-    "labelled_pictures": """WITH i AS (SELECT item_id, 'set' || item_id % 6 AS dataset, '/train/' || item_id || '_' || regexp_replace(regexp_replace(path, '^.*/', ''), '\.[^.]*$', '') AS n FROM image_item WHERE path IS NOT NULL)
+    "labelled_pictures": """WITH i AS (SELECT item_id, 'set' || item_id % 6 AS dataset, '/train/' || item_id || '_' || regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]*$', '') AS n FROM image_item WHERE path IS NOT NULL)
 SELECT item_id, dataset || '/images' || n || '.jpg' AS path, dataset, CASE WHEN item_id % 4 = 0 THEN dataset || '/labels' || n || '.txt' WHEN item_id % 3 < 2 THEN dataset || '/labelTxt' || n || '.txt' END AS label_path FROM i WHERE dataset IN ('set0', 'set1', 'set2')""",
     "inside_project": f"WITH {_I} SELECT coalesce(NOT regexp_matches(path, '(^|/)\\.\\.(/|$)') AND label = 'rice', false) AS inside, label, count(*) AS n FROM i WHERE path IS NOT NULL GROUP BY 1, 2",
     "representative_losers": f"""WITH r AS (SELECT *, {Q.CAPTURE} AS capture FROM source_record),
