@@ -145,18 +145,18 @@ def pack_along(pieces: Iterator[tuple[int, int, int, int]], capacity: int, windo
         box += 1
 
 
-def packed(sizes: DataFrame, *, capacity: int = CAPACITY, window: int = WINDOW, farthest: int = FARTHEST, enough: float = ENOUGH, per_range: int = 50_000, n_docs: int | None = None) -> DataFrame:
+def packed(sizes: DataFrame, *, capacity: int = CAPACITY, window: int = WINDOW, farthest: int = FARTHEST, enough: float = ENOUGH, per_range: int = 10_000, n_docs: int | None = None) -> DataFrame:
     """(container_id, doc_id, part, start, tokens): what lies in each container.
 
     sizes: doc_id, tokens, key.  Texts are sorted by their place on the curve into ranges
-    of about ``per_range`` texts (equal keys, such as copies, by a hash of doc_id, so a
+    of about ``per_range`` texts, at most 20,000 ranges (equal keys, such as copies, by a hash of doc_id, so a
     hot key is cut into ranges too), and each range is packed along the curve, looking
     ahead at ``window`` texts, or up to ``farthest`` where those leave too much room:
     containers hold neighbours, and a task holds what it looks at, not a range.  A text larger than the capacity is cut into full containers and a rest; no
     other text is divided.
     """
     n = sizes.count() if n_docs is None else n_docs
-    ranges = max(1, -(-n // per_range))
+    ranges = max(1, min(-(-n // per_range), 20_000))  # a longer range costs no more memory
     spread = F.xxhash64("doc_id")
     d = sizes.select("key", spread.alias("spread"), "doc_id", "tokens").repartitionByRange(ranges, "key", "spread", "doc_id").sortWithinPartitions("key", "spread", "doc_id")
 
@@ -182,7 +182,7 @@ def packed(sizes: DataFrame, *, capacity: int = CAPACITY, window: int = WINDOW,
     return out.select(F.concat_ws("-", "range", "box").alias("container_id"), "doc_id", "part", "start", "tokens")
 
 
-def fill_containers(documents: DataFrame, *, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, window: int = WINDOW, farthest: int = FARTHEST, enough: float = ENOUGH, per_range: int = 50_000) -> DataFrame:
+def fill_containers(documents: DataFrame, *, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, window: int = WINDOW, farthest: int = FARTHEST, enough: float = ENOUGH, per_range: int = 10_000) -> DataFrame:
     """Documents measured, ordered along the curve and packed; see ``measured`` and ``packed``."""
     scratch = Scratch(documents.sparkSession, "packing")
     return packed(scratch.keep(measured(documents, tokenizer=tokenizer), "sizes"), capacity=capacity, window=window, farthest=farthest, enough=enough, per_range=per_range)
