@@ -306,7 +306,7 @@ def test_mixing_with_exact_shares(spark):
     own = defaultdict(int)
     for _, s, n in data:
         own[s] += n
-    assert sum(report[n]["size_used"] for n in "abc") == min(2 * 2 * own["b"] // 2, 4 * own["c"])
+    assert sum(report[n]["size_used"] for n in "abc") == min(own["b"] * 2 * 4 // 2, own["c"] * 4 // 1, own["a"] * 4 // 1)  # size * max_repeats * all weights / weight
 
 
 # 6 -----------------------------------------------------------------------------------------------------------
